@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": mixing.op1_mix_sources}
+    return {"op1_mix_sources": mixing.op1_mix_sources, "op9_token_files": token_files.op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
