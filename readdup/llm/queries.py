@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, token_files
+from . import bpe, media, mixing, quality, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op4_quality": quality.op4_quality,
         "op6_bpe_codec": bpe.op6_bpe_codec,
         "op8_media_columns": media.op8_media_columns,
         "op9_token_files": token_files.op9_token_files,
