@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, media, mixing, quality, token_files
+from . import bpe, fingerprints, jaccard, media, mixing, quality, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_quality": quality.op4_quality,
         "op6_bpe_codec": bpe.op6_bpe_codec,
