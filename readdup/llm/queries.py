@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, media, mixing, quality, token_files
+from . import bpe, fingerprints, jaccard, media, mixing, quality, repeats, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_codec": bpe.op6_bpe_codec,
         "op8_media_columns": media.op8_media_columns,
         "op9_token_files": token_files.op9_token_files,
+        "op10_suffix_dedup": repeats.op10_suffix_dedup,
     }
 
 
