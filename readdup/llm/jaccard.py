@@ -175,6 +175,13 @@ def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return meta.join(placed, F.col("key") == F.col("_key"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that are the first document of their group; a row that repeats a kept doc_id goes, rows without doc_id stay."""
+    kept = join_groups(docs, k, num, den).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(key, text): a text of each class of ``wanted`` (key, doc_id)."""
     schema = pa.schema([("key", _I64), ("text", pa.string())])

@@ -118,6 +118,19 @@ def mix(sized: DataFrame, weights: list[int] = (5, 2, 1), share: int = 150, most
     return at.select(*sized.columns, "source_size", "weight", "target", "shard", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, to the next whole number; those that it takes less than half of go.
+
+    A run of blocks cuts at most two documents of a shard, so rounding moves few words. Of rows with equal doc_id, source and size each is taken as the first.
+    """
+    sized = stored(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    share = mix(sized).where("size > 0").groupBy("doc_id", "source", "size").agg(F.max(times).alias("_times"))
+    share = share.select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_words"), "_times").where("_times > 0")
+    both = docs.withColumn("_size", words_in(F.col("text"))).join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_size") == F.col("_words")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, five, two and one parts by source in turn, one and a half times all words."""
     sized = stored(documents(spark, sf_dir).select("doc_id", "source", words_in(F.col("text")).alias("size")))

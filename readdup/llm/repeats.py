@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import documents, flat, slices, stored, table
 from .suffix import common_prefixes, suffix_array
@@ -282,9 +283,11 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, in
     return b"".join([*kept, data[at:]]), removed, n
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and others) with n_bytes, n_removed, n_spans and kept (binary).
 
+    With ``as_text``, kept is a string without the bytes of characters that a span has cut in two.
+
     Defined cases: null texts are empty; texts shorter than ``length`` keep all; strings never cross documents; rows of
     equal doc_id do not remove from each other; a null doc_id counts as larger than all others, and rows with null
     doc_ids keep what only they share. Equal texts are told by 64-bit hash. Columns called like the new ones are replaced.
@@ -318,12 +321,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept, removed, n = (b"", len(data), 1) if whole else cut_spans(data, [(s["a"], s["b"]) for s in spans or ()])
                     for column, x in zip(rows, (len(data), removed, n, kept), strict=True):
                         column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+                if as_text:
+                    rows[3] = [x.decode("utf-8", "ignore") for x in rows[3]]
                 yield pa.RecordBatch.from_arrays([*(part.column(of[c]) for c in names), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
-
-    more = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
+    more = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", StringType() if as_text else BinaryType())]
     return todo.select(*names, "_spans", "_later").mapInArrow(cut, StructType([*docs.schema, *more]))
 
 
