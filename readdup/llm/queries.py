@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, media, mixing, quality, repeats, token_files
+from . import bpe, chat, fingerprints, html, jaccard, media, mixing, quality, repeats, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_quality": quality.op4_quality,
+        "op5_chat_format": chat.op5_chat_format,
         "op6_bpe_codec": bpe.op6_bpe_codec,
+        "op7_html_text": html.op7_html_text,
         "op8_media_columns": media.op8_media_columns,
         "op9_token_files": token_files.op9_token_files,
         "op10_suffix_dedup": repeats.op10_suffix_dedup,
