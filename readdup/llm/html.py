@@ -315,6 +315,11 @@ def grid(node: Node) -> list[str]:
         for c, across, lines in line:
             if across == 1:
                 width[c] = max(width.get(c, 0), min(WIDEST, max(map(len, lines), default=0)))
+    for line in placed:  # a cell across several columns widens the last one
+        for c, across, lines in line:
+            lacking = min(WIDEST, max(map(len, lines), default=0)) - sum(width.get(c + k, 0) + 2 for k in range(across)) + 2
+            if across > 1 and lacking > 0:
+                width[c + across - 1] = width.get(c + across - 1, 0) + lacking
     starts, at = {}, 0
     for c in range(max((c + a for line in placed for c, a, _ in line), default=0)):
         starts[c] = at
