@@ -6,11 +6,11 @@ The join skips work by the relations between sets:
 * classes are indexed by the prefix of their shingles under one global order (common shingles last, else by hash), so
   that two linked sets share an indexed shingle. Index lists are cut into blocks by set size, of which a set probes its
   own and the next, and a posting is passed over where its position leaves too few shingles for the threshold;
-* in each block every set is first compared with one of its sets. Sets linked to it form a cluster around it, and their
-  postings merge into the cluster's, so near copies count once from there on;
-* what a cluster's members are linked to follows from their centres' distance where that settles it: linked centres
-  join the clusters, and a member pair can only be linked if its distances to the centres make up what the centres'
-  distance exceeds the threshold by. Only such pairs are compared themselves, unless their clusters are already joined.
+* in each block every set is first compared with a few of its sets, the centres, and with one of the next block. Sets
+  that links connect form a group: what a centre is linked to answers for all of its group, whose sets are never
+  compared with each other;
+* sets of different groups that still share a list meet in cells of bounded size, where sketches of the sets, whose
+  difference bounds the sets' difference from below, refute what is not linked. The pairs left are compared themselves.
 
 Which shingles count as common only steers the order; any choice gives the same links.
 """
@@ -30,6 +30,10 @@ from .words import mix, shingle_sets
 
 #: Shingles that are ordered last at most (8 bytes each, broadcast), and the least documents they are in.
 MOST_COMMON, COMMON_FROM = 100_000, 64
+#: Centres of a block of an index list; rows of a part of a list in one cell.
+CENTRES, BLOCK_ROWS = 3, 512
+#: Classes (16 bytes each) that are broadcast at most.
+MOST_SENT = 1_000_000
 #: Counts that a task keeps between rounds of its sketch of frequent shingles.
 SKETCH = 1 << 16
 _I64 = pa.int64()
@@ -42,6 +46,27 @@ def class_key(shingles: np.ndarray) -> int:
         return int(mix(np.array([np.sum(mix(folded + np.arange(3, dtype=np.uint64)) * np.array([3, 5, 7], np.uint64))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set: bit i tells whether an odd number of its shingles hash to i. About four bits a shingle, a power of two of words.
+
+    The sketch of the symmetric difference is the XOR of both sketches, so that has no more bits than the difference
+    has shingles. A longer sketch is brought to a shorter one's length by XOR of its halves.
+    """
+    size = 1 << max(0, (len(shingles) - 1).bit_length() - 4)
+    bits = np.bincount((mix(shingles ^ np.uint64(0x5BD1E995)) & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound for how many shingles are in one of two sets only, from their sketches."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """How many first shingles of a set of n must be indexed: two sets linked at num/den share one of them."""
     return n - -(-num * n // den) + 1
@@ -54,14 +79,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, column: int) -> Iterator[tu
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key): each document's set size and class; key is null for empty sets."""
-    schema = pa.schema([("doc_id", _I64), ("n_shingles", _I64), ("key", _I64)])
+    """(doc_id, n_shingles, key, sketch): each document's set size, class and sketch; key is null for empty sets."""
+    schema = pa.schema([("doc_id", _I64), ("n_shingles", _I64), ("key", _I64), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k, 1):
-            yield table(schema, doc_id=part.column(0), n_shingles=[len(s) for s in sets], key=[class_key(s) if len(s) else None for s in sets])
+            yield table(schema, doc_id=part.column(0), n_shingles=[len(s) for s in sets], key=[class_key(s) if len(s) else None for s in sets], sketch=[sketch(s).tobytes() if len(s) else None for s in sets])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary")
 
 
 def common_shingles(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
@@ -127,29 +152,50 @@ def postings(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
     return docs.select("text").mapInArrow(run, "token long, key long, n int, pos int")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, both, either): sizes of intersection and union for pairs (a, b) of classes; ``texts`` has a text for each key."""
+def possible(pairs: DataFrame, sets: DataFrame, apart: float) -> DataFrame:
+    """The pairs (a, b) of classes whose Jaccard distance may be ``apart`` or less, by their sketches.
+
+    ``sets`` is (key, n, sketch). No pair at that distance is lost.
+    """
+    x = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    y = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, s, t in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                keep.append(least_difference(s, t) <= apart / (2 - apart) * (n_a + n_b) + 1e-6)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, apart: float) -> DataFrame:
+    """(a, b, both, either): sizes of intersection and union of the pairs (a, b) that their sketches leave possible."""
     schema = pa.schema([("a", _I64), ("b", _I64), ("both", _I64), ("either", _I64)])
+    left = stored(possible(pairs, sets, apart))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "doc_id"), "key")
+    texts = stored(texts_of(docs, wanted, k))
     x = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     y = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}  # the sets met last; rows of one b follow each other
+        known: dict[int, np.ndarray] = {}  # the sets met last; rows of one b mostly follow each other
         for batch in batches:
             for part in slices(batch, "text_a"):
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                first = dict(zip(b, range(len(b)), strict=True))
+                first = dict(zip(b[::-1], range(len(b) - 1, -1, -1), strict=True))
                 lacking = [(key, i) for key, i in first.items() if key not in known]
                 sets = shingle_sets(*flat(part.column(2)), k)
                 known = {key: known[key] for key in first if key in known}
                 if lacking:
                     chosen = part.column(3).take(pa.array([i for _, i in lacking]))
                     known |= dict(zip((key for key, _ in lacking), shingle_sets(*flat(chosen), k), strict=True))
-                both = [int(np.isin(s, known[key], assume_unique=True).sum()) if len(s) else 0 for s, key in zip(sets, b, strict=True)]
+                both = [int(np.isin(s, known[key], assume_unique=True).sum()) for s, key in zip(sets, b, strict=True)]
                 either = [len(s) + len(known[key]) - n for s, key, n in zip(sets, b, both, strict=True)]
                 yield table(schema, a=a, b=b, both=both, either=either)
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
+    return left.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
 def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -166,9 +212,8 @@ def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     lists = index.groupBy("token").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low <> _high").select("token")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
     index = stored(index.join(lists, "token").distinct().withColumn("block", block))
-    reps = meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = stored(texts_of(docs, index.select("key").distinct().join(reps, "key"), k))
-    labels = linked_classes(index, texts, k, num, den)
+    reps = stored(meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
+    labels = linked_classes(docs, index, reps, k, num, den)
     least = reps.join(labels, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     groups = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     placed = least.select("key", "root").join(groups, "root").select(F.col("key").alias("_key"), "component_id")
@@ -183,7 +228,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, text): a text of each class of ``wanted`` (key, doc_id)."""
+    """(key, text): a text of each class of ``wanted`` (key, doc_id). Few classes are sent to the documents, many meet them in a shuffle."""
     schema = pa.schema([("key", _I64), ("text", pa.string())])
     own = wanted.select("key", F.col("doc_id").alias("_id"))
 
@@ -193,60 +238,95 @@ def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             mask = pa.array([len(s) > 0 and class_key(s) == key for s, key in zip(sets, part.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=schema).filter(mask)
 
+    own = F.broadcast(own) if own.count() <= MOST_SENT else own
     return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").mapInArrow(run, "key long, text string").dropDuplicates(["key"])
 
 
-def linked_classes(index: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, root) of the classes that are linked to another; see the module's text. ``index``: postings() with ``block``."""
+def linked_classes(docs: DataFrame, index: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the classes that are linked to another; see the module's text. ``index``: postings() with ``block``; ``sets``: (key, doc_id, n, sketch)."""
     enough = den * F.col("both") >= num * F.col("either")
-    apart = 1 - F.col("both") / F.col("either")
     limit = 1 - num / den + 1e-9
 
-    # every set of a block against one
-    centre = index.groupBy("token", "block").agg(F.min(F.struct("key", "n", "pos")).alias("c"))
+    # every set against a few centres of its lists, of its own block and of the next one
+    picks = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key", "n", "pos")).alias(f"c{i}") for i in range(CENTRES)]
+    centre = index.groupBy("token", "block").agg(*picks)
+    own = index.join(centre, ["token", "block"]).select("key", "n", "pos", F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("c"))
+    after = index.withColumn("block", F.col("block") + 1).join(centre.select("token", "block", F.col("c0").alias("c")), ["token", "block"]).select("key", "n", "pos", "c")
     near = (den * F.least("n", "c.n") >= num * F.greatest("n", "c.n")) & ((num + den) * F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos")) >= num * (F.col("n") + F.col("c.n")))
-    first = index.join(centre, ["token", "block"]).where((F.col("key") != F.col("c.key")) & near).select(F.col("key").alias("a"), F.col("c.key").alias("b")).distinct()
-    tested = stored(compared(first, texts, k))
-    links = tested.where(enough).select("a", "b", apart.alias("d"))
-    roots = links.select("b").distinct().join(links.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-    members = stored(links.join(roots, "b").groupBy(F.col("a").alias("key")).agg(F.min(F.struct("b", "d")).alias("_c")).select("key", F.col("_c.b").alias("centre"), F.col("_c.d").alias("d")))
-
-    # clusters against each other, by their merged postings
-    placed = index.join(members, "key", "left").select("token", "block", "key", "n", "pos", F.coalesce("centre", "key").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    merged = placed.groupBy("token", "block", "centre").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-    x = merged.select("token", F.col("block").alias("at"), *(F.col(c).alias(f"x_{c}") for c in ("centre", "low", "high", "pos", "block")))
-    y = merged.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("at"), *(F.col(c).alias(f"y_{c}") for c in ("centre", "low", "high", "pos", "block")))
-    met = x.join(y, ["token", "at"]).where(
-        (F.col("x_centre") != F.col("y_centre"))
-        & ((F.col("y_block") > F.col("x_block")) | (F.col("x_centre") < F.col("y_centre")))
-        & (den * F.col("x_high") >= num * F.col("y_low")) & (den * F.col("y_high") >= num * F.col("x_low"))
-        & ((num + den) * F.least(F.col("x_high") - F.col("x_pos"), F.col("y_high") - F.col("y_pos")) >= num * (F.col("x_low") + F.col("y_low")))
-    )
-    met = met.select(F.least("x_centre", "y_centre").alias("a"), F.greatest("x_centre", "y_centre").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", "either").distinct()
-    fresh = compared(met.join(known, ["a", "b"], "left_anti"), texts, k)
-    centres = stored(met.join(known, ["a", "b"]).select("a", "b", "both", "either").unionByName(fresh))
-    joined = links.select("a", "b").unionByName(centres.where(enough).select("a", "b"))
-
-    # members of clusters whose centres leave it open
-    reach = members.groupBy("centre").agg(F.max("d").alias("reach"))
-    wide = centres.where(~enough).withColumn("apart", apart)
-    wide = wide.join(reach.select(F.col("centre").alias("a"), F.col("reach").alias("_a")), "a", "left").join(reach.select(F.col("centre").alias("b"), F.col("reach").alias("_b")), "b", "left")
-    open_ = wide.where((F.coalesce("_a", "_b").isNotNull()) & (F.col("apart") - F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)) <= limit)).select("a", "b", "apart")
-    label = components(joined)
-    open_ = open_.join(label.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
-    open_ = stored(open_.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b", "apart"))
-    if open_.isEmpty():
-        return label
-    u = open_.join(placed.select(F.col("centre").alias("a"), "token", *(F.col(c).alias(f"u_{c}") for c in ("key", "n", "pos", "d", "block"))), "a").withColumn("at", F.explode(F.array(F.col("u_block") - 1, F.col("u_block"), F.col("u_block") + 1)))
-    v = placed.select(F.col("centre").alias("b"), "token", F.col("block").alias("at"), F.col("key").alias("v_key"), F.col("n").alias("v_n"), F.col("pos").alias("v_pos"), F.col("d").alias("v_d"))
-    pairs = u.join(v, ["b", "token", "at"]).where(
-        (F.col("u_d") + F.col("v_d") + limit >= F.col("apart"))
-        & (den * F.least("u_n", "v_n") >= num * F.greatest("u_n", "v_n"))
-        & ((num + den) * F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos")) >= num * (F.col("u_n") + F.col("v_n")))
-    )
-    last = compared(pairs.select(F.col("u_key").alias("a"), F.col("v_key").alias("b")).distinct(), texts, k)
-    return components(joined.unionByName(last.where(enough).select("a", "b")))
+    first = own.unionByName(after).where((F.col("key") != F.col("c.key")) & near).select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+    links = stored(compared(first, docs, sets, k, limit).where(enough).select("a", "b"))
+    label = stored(components(links))
+
+    # sets of one group need no comparison: what they link to, the group is linked to. The rest meets in blocks
+    placed = index.join(label.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("group", F.coalesce("root", "key")).drop("root")
+    probing = placed.select("*", F.inline(F.array(F.struct(F.col("block").alias("at"), F.lit(False).alias("probe")), F.struct((F.col("block") - 1).alias("at"), F.lit(True).alias("probe")))))
+    size = placed.groupBy("token", "block").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    behind = size.select("token", (F.col("block") - 1).alias("at"), F.col("m").alias("m2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    mixed = size.withColumnRenamed("block", "at").join(behind, ["token", "at"], "left").where(F.least("low", "low2") != F.greatest("high", "high2"))
+    parts = mixed.select("token", "at", F.ceil((F.col("m") + F.coalesce("m2", F.lit(0))) / BLOCK_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    cells = probing.join(parts, ["token", "at"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("token", "at", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "probe", "key", "n", "pos", "group").join(sets.select("key", "sketch"), "key")
+    open_ = unlike(cells, num, den).distinct()
+    last = compared(open_, docs, sets, k, limit).where(enough).select("a", "b")
+    return components(links.unionByName(last))
+
+
+def unlike(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of sets of a cell that are of different groups and may be linked by size, position and sketch.
+
+    A cell is two parts of one block of an index list (or a part with itself); a probing set of the next block meets
+    the block's own sets only.
+    """
+    apart = 1 - num / den + 1e-9
+    reject = apart / (2 - apart)
+    schema = pa.schema([("a", _I64), ("b", _I64)])
+
+    def check(rows: list[tuple]) -> pa.RecordBatch | None:
+        part, probe, key, n, pos, group = (np.array(x) for x in zip(*(r[4:10] for r in rows), strict=True))
+        if group.min() == group.max():
+            return None
+        words = min(len(r[10]) for r in rows) // 8
+        sketches = np.empty((len(rows), words), np.uint64)
+        for i, r in enumerate(rows):
+            x = np.frombuffer(r[10], "<u8")
+            while len(x) > words:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            sketches[i] = x
+        left, a, b = n - pos, [], []
+        across = rows[0][2] != rows[0][3]
+        step = max(1, (1 << 22) // (len(rows) * words))
+        for i in range(0, len(rows), step):
+            j = slice(i, i + step)
+            both = n[j, None] + n[None, :]
+            ok = (group[j, None] != group[None, :]) & ~(probe[j, None] & probe[None, :]) & (den * np.minimum(n[j, None], n[None, :]) >= num * np.maximum(n[j, None], n[None, :])) & ((num + den) * np.minimum(left[j, None], left[None, :]) >= num * both)
+            ok &= (part[j, None] != part[None, :]) if across else (key[j, None] < key[None, :])
+            if ok.any():
+                u, v = np.nonzero(ok)
+                far = np.bitwise_count(sketches[i + u] ^ sketches[v]).sum(1)
+                keep = far <= reject * (n[i + u] + n[v]) + 1e-6
+                a.append(np.minimum(key[i + u[keep]], key[v[keep]]))
+                b.append(np.maximum(key[i + u[keep]], key[v[keep]]))
+        if not a:
+            return None
+        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        return table(schema, a=found[0], b=found[1]) if found.size else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != now:
+                    if len(held) > 1 and (out := check(held)):
+                        yield out
+                    now, held = row[:4], []
+                held.append(row)
+        if len(held) > 1 and (out := check(held)):
+            yield out
+
+    cell = ["token", "at", "i", "j"]
+    ordered = cells.select(*cell, "part", "probe", "key", "n", "pos", "group", "sketch").repartition(*cell).sortWithinPartitions(*cell)
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
