@@ -14,7 +14,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 5. what a string's windows have as least doc_id is joined back to where the string occurs: windows with a smaller one
    than their own document's are cut out.
 
-Strings that are alone with their minimiser share no window with any other and need no sorting.
+Strings that are alone with their minimiser, or with the bytes on either side of it, share no window with any other and
+need no sorting.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .words import mix
 
 LENGTH, GRAM = 50, 24
 #: Text bytes that a task packs into one set of blobs; text bytes for which there is one bucket; string bytes of a shard.
-PACK_BYTES, BUCKET_BYTES, SHARD_BYTES = 32 << 20, 16 << 20, 4 << 20
+PACK_BYTES, BUCKET_BYTES, SHARD_BYTES = 32 << 20, 16 << 20, 8 << 20
 #: Stands for a null doc_id, which counts as larger than every other.
 LAST = np.iinfo(np.int64).max
 SETTLED = 0xFFFF
@@ -217,6 +218,21 @@ def pieces(texts: DataFrame, length: int) -> DataFrame:
 
 def least_owners(strings: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
     """For each window of each string the least owner of a string that holds the same ``length`` bytes."""
+    span = length - min(GRAM, length) + 1
+    whole = {i: first_windows(s, length) for i, s in enumerate(strings) if len(s) - length + 1 > 2 * span}
+    if whole:  # sort what is new of strings that repeat themselves
+        parts = [(i, a, b) for i, s in enumerate(strings) for a, b in (whole[i][0] if i in whole else [(0, len(s) - length + 1)])]
+        found = _least_owners([strings[i][a : b + length - 1] for i, a, b in parts], owners[[i for i, _, _ in parts]], length)
+        out = [np.empty(len(s) - length + 1, np.int64) for s in strings]
+        for (i, a, b), x in zip(parts, found, strict=True):
+            out[i][a:b] = x
+        for i, (_, first) in whole.items():
+            out[i] = out[i][first]
+        return out
+    return _least_owners(strings, owners, length)
+
+
+def _least_owners(strings: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
     parted = b"\xff".join(strings)
     data = np.frombuffer(parted, np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
@@ -232,6 +248,48 @@ def least_owners(strings: list[bytes], owners: np.ndarray, length: int) -> list[
     return [own[a : a + w] for a, w in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
+def first_windows(s: bytes, length: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Ranges of the windows of a string that did not occur in it before, and for each window the first equal one.
+
+    A string of many windows with one minimiser repeats itself, so few of its windows are new.
+    """
+    h = gram_hashes(np.frombuffer(s, np.uint8), length)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    new = np.zeros(len(h) + 2, np.int8)
+    new[first + 1] = 1
+    edges = np.flatnonzero(np.diff(new))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), first[back]
+
+
+def may_share(strings: list[bytes], h: np.ndarray, length: int) -> np.ndarray:
+    """Which strings may hold a window of another one with the same minimiser ``h``.
+
+    A shared window has length - GRAM bytes around the minimiser, so half of them before it or half of them behind it.
+    Strings that share neither half with another have no such window. Where a string has its minimiser several times,
+    all strings of that minimiser are kept.
+    """
+    gram, half = min(GRAM, length), (length - min(GRAM, length) + 1) // 2
+    n = len(strings)
+    raw, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64)
+    at = np.append(0, np.cumsum(sizes))
+    if half == 0 or len(raw) < max(gram, half):
+        return np.ones(n, bool)
+    row = np.repeat(np.arange(n), sizes)[: len(raw) - gram + 1]
+    place = np.flatnonzero((gram_hashes(raw, gram) >> np.uint64(16)).astype(np.int64) == h[row])
+    of = row[place]
+    inside = place + gram <= at[of + 1]
+    place, of = place[inside], of[inside]
+    many = np.isin(h, h[np.bincount(of, minlength=n) != 1])
+    halves = gram_hashes(raw, half)
+    keep = many
+    for side in (place - half, place + gram):
+        fits = (side >= at[of]) & (side + half <= at[of + 1])
+        who = of[fits]
+        _, back, counts = np.unique(mix(h[who].view(np.uint64)) ^ halves[side[fits]], return_inverse=True, return_counts=True)
+        keep[who[counts[back] > 1]] = True
+    return keep
+
+
 def shard_owners(strings: DataFrame, length: int, shards: int) -> DataFrame:
     """(h, id, runs): for each string with a window of a smaller owner than one of its documents, its runs of windows with one least owner."""
     kind = "h long, id long, runs array<struct<off: int, n: int, owner: long>>"
@@ -248,21 +306,34 @@ def shard_owners(strings: DataFrame, length: int, shards: int) -> DataFrame:
         for h, _ in known:
             together[h] = together.get(h, 0) + 1
         sorted_keys = [k for k in known if together[k[0]] > 1]
+        if sorted_keys:
+            keep = may_share([known[k][0] for k in sorted_keys], np.array([k[0] for k in sorted_keys], np.int64), length)
+            sorted_keys = [k for k, may in zip(sorted_keys, keep.tolist(), strict=True) if may]
         found = dict(zip(sorted_keys, least_owners([known[k][0] for k in sorted_keys], np.array([known[k][1] for k in sorted_keys], np.int64), length), strict=True)) if sorted_keys else {}
-        hs, ids, runs = [], [], []
-        for k, (s, low, high) in known.items():
-            least = found.get(k)
-            if least is None:
-                own = [{"off": 0, "n": len(s) - length + 1, "owner": low}] if low < high else []
-            else:
-                cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-                ends = np.append(cut[1:], len(least))
-                own = [{"off": a, "n": b - a, "owner": m} for a, b, m in zip(cut.tolist(), ends.tolist(), least[cut].tolist(), strict=True) if m < high]
-            if own:
-                hs.append(k[0])
-                ids.append(k[1])
-                runs.append(own)
-        return pa.table({"h": pa.array(hs, pa.int64()), "id": pa.array(ids, pa.int64()), "runs": pa.array(runs, pa.list_(pa.struct([("off", pa.int32()), ("n", pa.int32()), ("owner", pa.int64())])))})
+        # runs of windows with one least owner: of sorted strings by change, of the others the whole string
+        keys = list(known)
+        at = {k: i for i, k in enumerate(keys)}
+        windows = np.array([len(x[0]) - length + 1 for x in known.values()], np.int64)
+        low, high = (np.array([x[c] for x in known.values()], np.int64) for c in (1, 2))
+        done = np.array([at[k] for k in found], np.int64)
+        rest = np.setdiff1d(np.arange(len(keys)), done)
+        of, off, n, owner = rest, np.zeros(len(rest), np.int64), windows[rest], low[rest]
+        if len(done):
+            flat_ = np.concatenate(list(found.values()))
+            ends = np.cumsum(windows[done])
+            fresh = np.append(True, flat_[1:] != flat_[:-1])
+            fresh[ends[:-1]] = True
+            begin = np.flatnonzero(fresh)
+            row = np.searchsorted(ends, begin, side="right")
+            of, off, n, owner = (np.concatenate(x) for x in ((of, done[row]), (off, begin - (ends - windows[done])[row]), (n, np.diff(np.append(begin, len(flat_)))), (owner, flat_[begin])))
+        useful = owner < high[of]
+        of, off, n, owner = of[useful], off[useful], n[useful], owner[useful]
+        order = np.argsort(of, kind="stable")
+        of, off, n, owner = of[order], off[order], n[order], owner[order]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        cells = pa.StructArray.from_arrays([pa.array(off, pa.int32()), pa.array(n, pa.int32()), pa.array(owner, pa.int64())], ["off", "n", "owner"])
+        h, i = (pa.array([keys[k][c] for k in of[first].tolist()], pa.int64()) for c in (0, 1))
+        return pa.table({"h": h, "id": i, "runs": pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), cells)})
 
     return strings.select("h", "id", "s", "low", "high", F.pmod("h", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(run, kind)
 
