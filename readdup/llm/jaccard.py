@@ -31,7 +31,7 @@ from .words import mix, shingle_sets
 #: Shingles that are ordered last at most (8 bytes each, broadcast), and the least documents they are in.
 MOST_COMMON, COMMON_FROM = 100_000, 64
 #: Centres of a block of an index list; rows of a part of a list in one cell.
-CENTRES, BLOCK_ROWS = 3, 512
+CENTRES, BLOCK_ROWS = 6, 512
 #: Classes (16 bytes each) that are broadcast at most.
 MOST_SENT = 1_000_000
 #: Counts that a task keeps between rounds of its sketch of frequent shingles.
@@ -57,6 +57,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def halved(sketch: np.ndarray) -> np.ndarray:
+    """The sketch at half its length, or as it is at one word."""
+    return sketch if len(sketch) < 2 else sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound for how many shingles are in one of two sets only, from their sketches."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -79,14 +84,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, column: int) -> Iterator[tu
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key, sketch): each document's set size, class and sketch; key is null for empty sets."""
-    schema = pa.schema([("doc_id", _I64), ("n_shingles", _I64), ("key", _I64), ("sketch", pa.binary())])
+    """(doc_id, n_shingles, key, sketch, brief): each document's set size, class, sketch and its half; key is null for empty sets."""
+    schema = pa.schema([("doc_id", _I64), ("n_shingles", _I64), ("key", _I64), ("sketch", pa.binary()), ("brief", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k, 1):
-            yield table(schema, doc_id=part.column(0), n_shingles=[len(s) for s in sets], key=[class_key(s) if len(s) else None for s in sets], sketch=[sketch(s).tobytes() if len(s) else None for s in sets])
+            sketches = [sketch(s) if len(s) else None for s in sets]
+            briefs = [None if x is None else halved(x).tobytes() for x in sketches]
+            yield table(schema, doc_id=part.column(0), n_shingles=[len(s) for s in sets], key=[class_key(s) if len(s) else None for s in sets], sketch=[None if x is None else x.tobytes() for x in sketches], brief=briefs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary, brief binary")
 
 
 def common_shingles(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
@@ -174,7 +181,7 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, apart:
     """(a, b, both, either): sizes of intersection and union of the pairs (a, b) that their sketches leave possible."""
     schema = pa.schema([("a", _I64), ("b", _I64), ("both", _I64), ("either", _I64)])
     left = stored(possible(pairs, sets, apart))
-    wanted = left.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "doc_id"), "key")
+    wanted = left.select(F.col("a").alias("key")).distinct().unionByName(left.select(F.col("b").alias("key")).distinct()).distinct().join(sets.select("key", "doc_id"), "key")
     texts = stored(texts_of(docs, wanted, k))
     x = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     y = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
@@ -212,7 +219,7 @@ def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     lists = index.groupBy("token").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low <> _high").select("token")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
     index = stored(index.join(lists, "token").distinct().withColumn("block", block))
-    reps = stored(meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
+    reps = stored(meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("brief").alias("brief")))
     labels = linked_classes(docs, index, reps, k, num, den)
     least = reps.join(labels, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     groups = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -243,7 +250,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, index: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, root) of the classes that are linked to another; see the module's text. ``index``: postings() with ``block``; ``sets``: (key, doc_id, n, sketch)."""
+    """(node, root) of the classes that are linked to another; see the module's text. ``index``: postings() with ``block``; ``sets``: (key, doc_id, n, sketch, brief)."""
     enough = den * F.col("both") >= num * F.col("either")
     limit = 1 - num / den + 1e-9
 
@@ -262,11 +269,12 @@ def linked_classes(docs: DataFrame, index: DataFrame, sets: DataFrame, k: int, n
     probing = placed.select("*", F.inline(F.array(F.struct(F.col("block").alias("at"), F.lit(False).alias("probe")), F.struct((F.col("block") - 1).alias("at"), F.lit(True).alias("probe")))))
     size = placed.groupBy("token", "block").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
     behind = size.select("token", (F.col("block") - 1).alias("at"), F.col("m").alias("m2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    mixed = size.withColumnRenamed("block", "at").join(behind, ["token", "at"], "left").where(F.least("low", "low2") != F.greatest("high", "high2"))
+    # where only two sets meet, one was the other's centre
+    mixed = size.withColumnRenamed("block", "at").join(behind, ["token", "at"], "left").where((F.least("low", "low2") != F.greatest("high", "high2")) & (F.col("m") + F.coalesce("m2", F.lit(0)) > 2))
     parts = mixed.select("token", "at", F.ceil((F.col("m") + F.coalesce("m2", F.lit(0))) / BLOCK_ROWS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     cells = probing.join(parts, ["token", "at"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("token", "at", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "probe", "key", "n", "pos", "group").join(sets.select("key", "sketch"), "key")
+    cells = cells.select("token", "at", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "probe", "key", "n", "pos", "group").join(sets.select("key", "brief"), "key")
     open_ = unlike(cells, num, den).distinct()
     last = compared(open_, docs, sets, k, limit).where(enough).select("a", "b")
     return components(links.unionByName(last))
@@ -325,7 +333,7 @@ def unlike(cells: DataFrame, num: int, den: int) -> DataFrame:
             yield out
 
     cell = ["token", "at", "i", "j"]
-    ordered = cells.select(*cell, "part", "probe", "key", "n", "pos", "group", "sketch").repartition(*cell).sortWithinPartitions(*cell)
+    ordered = cells.select(*cell, "part", "probe", "key", "n", "pos", "group", "brief").repartition(*cell).sortWithinPartitions(*cell)
     return ordered.mapInArrow(run, "a long, b long")
 
 
