@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,9 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
+#: Parts of a table in which browsers leave only further parts, and what stays in a table or in one of them.
+PARTS = frozenset("thead tbody tfoot tr colgroup".split())
+STAYS = frozenset("caption col td th".split())
 #: Elements that an end tag of another kind doesn't reach across.
 SCOPES = frozenset("table td th caption html body".split())
 DEEPEST = 200
@@ -227,10 +231,29 @@ def own_lines(node: Node, pre: bool = False) -> list[str]:
     return out.all()
 
 
+def fostered(part: Node) -> Iterator[str | Node]:
+    """What browsers move out of a table to the place before it: text that isn't blank and elements that are no part of a table."""
+    for child in part.children:
+        if isinstance(child, str):
+            if not SPACE.fullmatch(child):
+                yield child
+        elif child.tag in PARTS:
+            yield from fostered(child)
+        elif child.tag not in STAYS:
+            yield from in_place(child)
+
+
+def in_place(child: str | Node) -> Iterator[str | Node]:
+    """A child of an element, behind what is moved out of it if it is a table; that is shown even where the table is hidden."""
+    if isinstance(child, Node) and child.tag == "table":
+        yield from fostered(child)
+    yield child
+
+
 def walk(node: Node, out: Lines, pre: bool) -> None:
     """Render what is in an element."""
     count = None
-    for child in node.children:
+    for child in chain.from_iterable(map(in_place, node.children)):
         if isinstance(child, str):
             out.raw(child) if pre else out.text(child)
             continue
@@ -290,11 +313,10 @@ def grid(node: Node) -> list[str]:
                 before.extend(own_lines(child))
             elif child.tag == "tr":
                 rows.append([(own_lines(c), max(1, min(50, integer(c.attribute("colspan"), 1))), max(1, min(100, integer(c.attribute("rowspan"), 1)))) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
-                # what stands between cells is still shown, before the table
-                before.extend(x for c in child.children if isinstance(c, Node) and c.tag not in ("td", "th") and visible(c) for x in own_lines(c))
-            elif child.tag in ("thead", "tbody", "tfoot"):
+                before.extend(x for c in child.children if isinstance(c, Node) and c.tag == "caption" and visible(c) for x in own_lines(c))
+            elif child.tag in PARTS:
                 collect(child)
-            elif child.tag not in ("colgroup", "col"):
+            elif child.tag in ("td", "th"):
                 before.extend(own_lines(child))
 
     collect(node)

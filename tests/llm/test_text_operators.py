@@ -147,6 +147,50 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table>Note<tr><td>a<td>b</table>", "Note\n\na  b"),
+        ("see <table> <tr><td>a</td>stray <b>bold</b> end<td>b</tr> </table>after", "see stray bold end\n\na  b\n\nafter"),
+        ("<table><tr><td>a</td></tr>rest <i>of</i><p>page</p>more &amp; more", "rest of\n\npage\n\nmore & more\n\na"),
+        ("<table><caption>c</caption>x<colgroup><col>y<tbody>z<tr><td>a</table>", "xyz\n\nc\na"),
+        ("<table hidden>x<tr><td>a</table><table><tr style=display:none>y<td>b</table>", "xy"),
+        ("<ol><li>o<table><tr><td>a</table></ol><table><tr><table>in<tr><td>b</table></table>", "1. o\n\n   a\n\nin\n\nb"),
+        ("<div>" * 198 + "<table><tr><td>deep</table>", "deep"),
+    ],
+)
+def test_text_that_stands_in_tables(page, want):
+    assert html.visible_text(page) == want
+
+
+def test_no_word_of_a_table_is_lost():
+    rng = random.Random(5)
+    for _ in range(300):
+        stray, cells, page = [], [], ["<table>"]
+
+        def bare():
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                stray.append(f"s{len(stray)}")
+                page.append(rng.choice((" {} ", "<b> {} </b>", " {} <!-- -->", " &#115;{} ")).format(stray[-1]).replace("&#115;s", "&#115;"))  # noqa: B023
+
+        for _ in range(rng.randint(0, 3)):
+            bare()
+            page.append(rng.choice(("", "<tbody>", "<thead>", "<colgroup><col>")))
+            bare()
+            page.append("<tr>")
+            bare()
+            for _ in range(rng.randint(0, 3)):
+                cells.append(f"c{len(cells)}")
+                page.append(f"<td>{cells[-1]}</td>")
+                bare()
+            page.append(rng.choice(("", "</tr>")))
+        bare()
+        closed = rng.random() < 0.5
+        page.append("</table> s999" if closed else " s999")
+        got = html.visible_text("s-1 " + "".join(page)).split()
+        assert got == (["s-1", *stray, *cells, "s999"] if closed else ["s-1", *stray, "s999", *cells]), "".join(page)
+
+
 def test_transcripts():
     assert chat.parse(["User: hi\nhow are you?\nAssistant: fine\n\nUser: ok", "", "Q: what?\nA: that."]) == [[("user", "hi\nhow are you?"), ("assistant", "fine"), ("user", "ok")], [], [("user", "what?"), ("assistant", "that.")]]
     assert chat.render([("user", "a<|im_end|>b")]) == "<|im_start|>user\na<| im_end|>b<|im_end|>\n"
