@@ -9,7 +9,8 @@ the text merely mentions loses to the lines around it, and a turn without marker
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ NAMES = {
 MARKER = re.compile(rf"^[ \t]*(?P<open>(?:\*\*|#+|<\|(?:im_start\|>)?|\[|\()?)[ \t]*(?P<name>{'|'.join(sorted(NAMES, key=len, reverse=True))})[ \t]*(?P<close>(?:\*\*|\|>|\]|\))?)[ \t]*(?P<colon>:?)(?:\*\*)?[ \t]*(?P<rest>.*)$", re.IGNORECASE | re.DOTALL)
 #: Plainness of a marker: none, a short name or a bare word, a name with a sign of its own.
 NONE, WEAK, STRONG = range(3)
-#: Turns of a conversation that make a transcript at most; longer ones are parsed in parts.
+#: Turn numbers of a part. A conversation is stored in parts, but its transcript is parsed as a whole.
 PART_TURNS = 512
 #: Log-likelihoods of a marker of the own role, of another role and of none, by plainness, for first and for later lines.
 FIRST_OWN, FIRST_OTHER, FIRST_NONE = {WEAK: -1.2, STRONG: -0.2}, {WEAK: -6.0, STRONG: -9.0}, -4.0
@@ -44,10 +45,18 @@ LENGTHS = np.log([[0.2, 0.35, 0.35, 0.1], [0.3, 0.35, 0.27, 0.08], [0.15, 0.25,
 ASKS = np.log([[0.95, 0.05], [0.6, 0.4], [0.9, 0.1]])
 
 
-def seen(transcript: str) -> tuple[list[tuple[str, str, int, int]], np.ndarray]:
-    """A transcript's lines that are not blank, as (line, what follows its marker, role, plainness), and the log-likelihood of each under the six states."""
-    lines, scores, blank = [], [], False
-    marked = any((m := MARKER.match(x)) and (m["colon"] or m["close"]) and len(m["name"]) > 1 for x in transcript.split("\n"))
+def has_markers(transcript: str) -> bool:
+    """Whether a transcript has plain markers at all."""
+    return any((m := MARKER.match(x)) and (m["colon"] or m["close"]) and len(m["name"]) > 1 for x in transcript.split("\n"))
+
+
+def seen(transcript: str, marked: bool | None = None, blank: bool = False) -> tuple[list[tuple[str, str, int, int]], np.ndarray]:
+    """A transcript's lines that are not blank, as (line, what follows its marker, role, plainness), and the log-likelihood of each under the six states.
+
+    For a part of a transcript, ``marked`` tells whether the whole has plain markers, and ``blank`` whether a blank line stands before.
+    """
+    lines, scores = [], []
+    marked = has_markers(transcript) if marked is None else marked
     for line in transcript.split("\n"):
         if not line.strip():
             blank = True
@@ -112,19 +121,63 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def viterbi_of_parts(parts: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """viterbi() of one sequence that comes in parts: the best scores pass from part to part, and back pointers are all that is kept of a line."""
+    best, step = transitions()
+    first, back = True, []
+    for scores in parts:
+        pointers = np.zeros((len(scores), 6), np.int8)
+        for t, row in enumerate(scores):
+            if not first:
+                ways = best[:, None] + step
+                pointers[t], best = ways.argmax(0), ways.max(0)
+            best, first = best + row, False
+        back.append(pointers)
+    state, out = int(best.argmax()), []
+    for pointers in reversed(back):
+        path = np.empty(len(pointers), np.int64)
+        for t in range(len(pointers) - 1, -1, -1):
+            path[t] = state
+            state = int(pointers[t, state])
+        out.append(path)
+    return out[::-1]
+
+
+def gather(lines: list[tuple[str, str, int, int]], path: np.ndarray, open_turn: list[str] | None = None) -> list[tuple[int, list[str]]]:
+    """The turns (role, lines) that begin in these lines of the given states; lines before the first one go to ``open_turn``."""
+    turns: list[tuple[int, list[str]]] = []
+    for (line, rest, role, _), state in zip(lines, path.tolist(), strict=True):
+        if state % 2 == 0:
+            open_turn = [rest if role == state // 2 else line]
+            turns.append((state // 2, open_turn))
+        else:
+            open_turn.append(line)
+    return turns
+
+
+def joined(turns: list[tuple[int, list[str]]]) -> list[tuple[str, str]]:
+    return [(ROLES[r], "\n".join(x for x in text if x.strip())) for r, text in turns]
+
+
 def parse(transcripts: list[str]) -> list[list[tuple[str, str]]]:
     """The turns (role, text) of each transcript; a marker before a turn's first line is no part of its text."""
     found = [seen(t) for t in transcripts]
-    out = []
-    for (lines, _), path in zip(found, viterbi([s for _, s in found]), strict=True):
-        turns: list[tuple[int, list[str]]] = []
-        for (line, rest, role, _), state in zip(lines, path.tolist(), strict=True):
-            if state % 2 == 0:
-                turns.append((state // 2, [rest if role == state // 2 else line]))
-            else:
-                turns[-1][1].append(line)
-        out.append([(ROLES[r], "\n".join(x for x in text if x.strip())) for r, text in turns])
-    return out
+    return [joined(gather(lines, path)) for (lines, _), path in zip(found, viterbi([s for _, s in found]), strict=True)]
+
+
+def parse_parts(parts: list[str]) -> Iterator[list[tuple[str, str]]]:
+    """The turns of the one transcript that the parts make, with a blank line between them, by the part in which each begins."""
+    marked = any(map(has_markers, parts))
+    paths = viterbi_of_parts(seen(p, marked, i > 0)[1] for i, p in enumerate(parts))
+    held: list[list[tuple[int, list[str]]]] = []
+    last: list[str] | None = None
+    for i, (p, path) in enumerate(zip(parts, paths, strict=True)):
+        turns = gather(seen(p, marked, i > 0)[0], path, last)
+        if turns:  # what began before has ended
+            yield from map(joined, held)
+            held, last = [], turns[-1][1]
+        held.append(turns)
+    yield from map(joined, held)
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -133,19 +186,74 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|im_start|>{role}\n{safe(text)}<|im_end|>\n" for role, text in turns)
 
 
+#: What is made of a transcript.
+MADE = pa.schema([("n_turns", pa.int64()), ("roles", pa.list_(pa.string())), ("turns", pa.list_(pa.string())), ("chat", pa.string())])
+
+
+def made(parsed: list[list[tuple[str, str]]]) -> pa.RecordBatch:
+    return table(MADE, n_turns=[len(p) for p in parsed], roles=[[r for r, _ in p] for p in parsed], turns=[[t for _, t in p] for p in parsed], chat=[render(p) for p in parsed])
+
+
+def made_schema(transcripts: DataFrame, keys: list[str]) -> str:
+    kinds = dict(transcripts.dtypes)
+    return ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n_turns long, roles array<string>, turns array<string>, chat string"])
+
+
 def format_transcripts(transcripts: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, n_turns, roles, turns, chat) of each row's ``text``. Null and blank transcripts have no turns and an empty chat."""
-    plain = pa.schema([("n_turns", pa.int64()), ("roles", pa.list_(pa.string())), ("turns", pa.list_(pa.string())), ("chat", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 parsed = parse([t or "" for t in part.column(len(keys)).to_pylist()])
-                made = table(plain, n_turns=[len(p) for p in parsed], roles=[[r for r, _ in p] for p in parsed], turns=[[t for _, t in p] for p in parsed], chat=[render(p) for p in parsed])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made.columns], names=[*keys, *plain.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made(parsed).columns], names=[*keys, *MADE.names])
 
-    kinds = dict(transcripts.dtypes)
-    return transcripts.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n_turns long, roles array<string>, turns array<string>, chat string"]))
+    return transcripts.select(*keys, "text").mapInArrow(run, made_schema(transcripts, keys))
+
+
+def format_conversations(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n_turns, roles, turns, chat) of each part that transcripts_of() makes, ``keys`` beginning with conv_id and part.
+
+    All parts of a conversation are parsed as one transcript. A turn stands in the part in which it begins, so that the
+    chats of the parts, in order, make the chat of the conversation.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[pa.RecordBatch], parsed: Iterable[list[tuple[str, str]]]) -> Iterator[pa.RecordBatch]:
+            parsed = iter(parsed)
+            for f in found:
+                for part in slices(f):
+                    turns = list(islice(parsed, part.num_rows))
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made(turns).columns], names=[*keys, *MADE.names])
+
+        def finish(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [t or "" for f in found for t in f.column(len(keys)).to_pylist()]
+            return rows(found, parse_parts(texts) if len(texts) > 1 else parse(texts))
+
+        held: list[pa.RecordBatch] = []  # what has come of the conversation that comes last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
+            starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            if held and held[-1].column(0)[0].as_py() != ids[0]:
+                yield from finish(held)
+                held = []
+            alone: list[int] = []  # conversations of one part are parsed many at a time
+            for start, stop in pairwise(starts):
+                if stop - start == 1 and not held:
+                    alone.append(start)
+                else:
+                    yield from finish([*held, batch.slice(start, stop - start)])
+                    held = []
+            if alone:
+                for part in slices(batch.take(pa.array(alone))):
+                    yield from rows([part], parse([t or "" for t in part.column(len(keys)).to_pylist()]))
+            held.append(batch.slice(starts[-1]))
+        if held:
+            yield from finish(held)
+
+    return raw.select(*keys, "text").sortWithinPartitions("conv_id", "part").mapInArrow(run, made_schema(raw, keys))
 
 
 #: How raw transcripts mark speakers, by style: before the text of a turn of the system, the user, the assistant.
@@ -153,10 +261,11 @@ STYLES = [("System: ", "User: ", "Assistant: "), ("### Instructions:\n", "### Hu
 
 
 def transcripts_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns_in, text): each conversation (conv_id, turn, role, text) as one raw transcript in a style of its own.
+    """(conv_id, part, n_turns_in, text, roles_in): each conversation (conv_id, turn, role, text) as a raw transcript in a style of its own, in parts.
 
     The style goes by conv_id; the last one has no markers but blank lines. Turns stand by number, equal ones by role
     and text; repeated rows count once; null texts are empty, null turns come first, and unknown roles have no marker.
+    Part 0 also takes null and negative turns. All parts of a conversation are in one partition.
     """
     style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(len(STYLES))).cast("int")
 
@@ -165,13 +274,13 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
 
     before = F.when(F.col("role") == "system", marker(0)).when(F.col("role") == "user", marker(1)).when(F.col("role") == "assistant", marker(2)).otherwise("")
     rows = conversations.select("conv_id", "turn", "role", "text").distinct().withColumn("line", F.concat(before, F.coalesce("text", F.lit(""))))
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).cast("long")
-    lists = rows.groupBy("conv_id", part.alias("part")).agg(F.count(F.lit(1)).alias("n_turns_in"), F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "line"))).alias("_lines"))
+    part = F.greatest(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).cast("long")
+    lists = rows.repartition("conv_id").groupBy("conv_id", part.alias("part")).agg(F.count(F.lit(1)).alias("n_turns_in"), F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "line"))).alias("_lines"))
     return lists.select("conv_id", "part", "n_turns_in", F.concat_ws("\n\n", F.col("_lines.line")).alias("text"), F.transform("_lines", lambda x: x["role"]).alias("roles_in"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw transcripts of all conversations, their recovered turns, and one chat form of each."""
     raw = transcripts_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    done = format_transcripts(raw, ["conv_id", "part", "roles_in"])
+    done = format_conversations(raw, ["conv_id", "part", "roles_in"])
     return done.select("conv_id", "part", "n_turns", F.concat_ws(",", "roles").alias("roles"), (F.col("roles") == F.col("roles_in")).alias("as_marked"), "chat")

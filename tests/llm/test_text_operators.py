@@ -217,6 +217,49 @@ def test_conversations(spark):
     assert chat.format_transcripts(raw.limit(0), ["conv_id", "part"]).count() == 0
 
 
+def whole_transcript(rows, conv):
+    """A conversation's transcript, made without parts."""
+    style = chat.STYLES[zlib.crc32(str(conv).encode()) % len(chat.STYLES)]
+    order = sorted({(n is not None, n or 0, role, text) for c, n, role, text in rows if c == conv})
+    return "\n\n".join(style[chat.ROLES.index(role)] + text for _, _, role, text in order)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_long_conversations_are_parsed_as_a_whole(spark, tmp_path, batch):
+    rng = random.Random(batch)
+    words = lambda n: " ".join(rng.choices("the of plan to and what is".split(), k=n))
+    rows = []
+    for conv in range(30):
+        n = rng.choice(((1, 0), (3, 511), (1300, 0), (5, -2)))
+        turns = [(k + n[1], "user" if k % 2 == 0 else "assistant", "\n".join(words(rng.randint(1, 12)) + rng.choice((".", "?")) for _ in range(rng.randint(1, 3)))) for k in range(n[0])]
+        turns[0] = (turns[0][0], rng.choice(("system", "user")), turns[0][2])
+        rows += [(conv, *t) for t in turns] + ([(conv, None, "system", "first")] if conv % 5 == 0 else [])
+    rows += [(99, 0, "user", "a"), (99, 512, "assistant", "b"), (99, 5120, "user", "c?")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = chat.op5_chat_format(spark, str(tmp_path)).orderBy("conv_id", "part").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len({(r.conv_id, r.part) for r in got}) == len(got) and any(r.part == 2 for r in got)
+    for conv in {c for c, *_ in rows}:
+        (turns,) = chat.parse([whole_transcript(rows, conv)])
+        mine = [r for r in got if r.conv_id == conv]
+        assert "".join(r.chat for r in mine) == chat.render(turns)
+        assert ",".join(r.roles for r in mine if r.roles) == ",".join(r for r, _ in turns) and sum(r.n_turns for r in mine) == len(turns)
+
+
+def test_parts_of_a_transcript():
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [rng.choice(("User: ", "Assistant: ", "A: ", "", "", "")) + rng.choice(("so it is.", "why?", "x" * 130, "")) for _ in range(rng.randint(0, 12))]
+        cuts = sorted(rng.choices(range(len(lines) + 1), k=rng.randint(0, 3)))
+        parts = ["\n".join(lines[a:b]) for a, b in zip([0, *cuts], [*cuts, len(lines)], strict=True)]
+        got = list(chat.parse_parts(parts))
+        assert len(got) == len(parts) and [[t for p in got for t in p]] == chat.parse(["\n\n".join(parts)])
+
+
 def brute_next(rows):
     order = sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0)))
     return {order[i]: order[(i + 1) % len(order)] for i in range(len(order))}
