@@ -71,11 +71,11 @@ def within(queries: DataFrame, found: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, text_hash, next_id, next_text, next_hash) in the order of descending doc_id; after the last comes the first.
+    """(doc_id, text, text_hash, copies, next_id, next_text, next_hash) in the order of descending doc_id; after the last comes the first.
 
     Ranges of doc_id are windows of their own, each with the first row of the next range added, so no window spans the
     table. Null texts are empty, null doc_ids come last, equal doc_ids stand by text_hash (64 bits), and rows with equal
-    doc_id and text count once.
+    doc_id and text are one of which ``copies`` tells the number.
     """
     n = docs.select("doc_id").count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
@@ -93,9 +93,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = placed.withColumn("_extra", F.lit(False)).unionByName(extra)
     row = Window.partitionBy("_range").orderBy("_extra", F.col("doc_id").desc_nulls_last(), "_hash")
     same = (F.lag("_hash").over(row) == F.col("_hash")) & F.lag("doc_id").over(row).eqNullSafe(F.col("doc_id")) & (F.lag("_extra").over(row) == F.col("_extra"))
-    both = both.withColumn("_same", F.coalesce(same, F.lit(False))).where(~F.col("_same"))
+    peers = F.count(F.lit(1)).over(row.rangeBetween(Window.currentRow, Window.currentRow))
+    both = both.withColumn("_same", F.coalesce(same, F.lit(False))).withColumn("copies", peers).where(~F.col("_same"))
     out = both.select("*", *(F.lead(c).over(row).alias(name) for c, name in (("doc_id", "next_id"), ("text", "next_text"), ("_hash", "next_hash"))))
-    return out.where(~F.col("_extra")).select("doc_id", "text", F.col("_hash").alias("text_hash"), "next_id", "next_text", "next_hash")
+    return out.where(~F.col("_extra")).select("doc_id", "text", F.col("_hash").alias("text_hash"), "copies", "next_id", "next_text", "next_hash")
 
 
 def rank_among(column: str, cuts: list[int]) -> Column:
@@ -119,15 +120,16 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     pairs = with_next(documents(spark, sf_dir).select("doc_id", "text")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), cut)))
     none = F.lit(None).cast("long")
-    own = F.struct("text", none.alias("next_id"), none.alias("next_hash"), none.alias("n_chars"), F.lit(None).cast("binary").alias("sha"))
-    edited = F.struct(F.col("edited").alias("text"), "next_id", "next_hash", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"))
-    key = ["doc_id", "text_hash", "next_id", "next_hash", "n_chars", "sha"]
+    own = F.struct("text", none.alias("next_id"), none.alias("next_hash"), none.alias("copies"), none.alias("n_chars"), F.lit(None).cast("binary").alias("sha"))
+    edited = F.struct(F.col("edited").alias("text"), "next_id", "next_hash", "copies", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"))
+    key = ["doc_id", "text_hash", "next_id", "next_hash", "copies", "n_chars", "sha"]
     done = stored(fingerprints(pairs.select("doc_id", "text_hash", F.inline(F.array(own, edited))), key))
     plain = done.where("sha is null")
     a = done.where("sha is not null").select(*key, F.col("fingerprint").alias("_edited"))
     b = plain.select(F.col("doc_id").alias("_b"), F.col("text_hash").alias("_bh"), F.col("fingerprint").alias("_own"))
     c = plain.select(F.col("doc_id").alias("_c"), F.col("text_hash").alias("_ch"), F.col("fingerprint").alias("_next"))
     all3 = a.join(b, F.col("doc_id").eqNullSafe(F.col("_b")) & (F.col("text_hash") == F.col("_bh"))).join(c, F.col("next_id").eqNullSafe(F.col("_c")) & (F.col("next_hash") == F.col("_ch")))
+    all3 = all3.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     shown = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
     return all3.select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), shown("_own").alias("fingerprint"), shown("_edited").alias("edited_fingerprint"),

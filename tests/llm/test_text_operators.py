@@ -276,6 +276,20 @@ def test_next_documents(spark, monkeypatch, ranges):
     assert fingerprints.with_next(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [3, 1024])
+def test_repeated_rows_have_fingerprints_of_their_own(spark, tmp_path, monkeypatch, ranges):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", ranges)
+    rows = [(i, f"some text {i % 4} of words") for i in range(20)] + [(3, "some text 3 of words")] * 2 + [(3, "other"), (None, None), (None, ""), (None, "x y"), (0, "some text 0 of words"), (19, "some text 3 of words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.op3_fingerprints(spark, str(tmp_path)).collect()
+    own = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), ["doc_id"]).collect()}
+    want = [(repr(d), len(t or ""), f"{own[i].fingerprint % (1 << 64):016x}") for i, (d, t) in enumerate(rows)]
+    assert sorted((repr(r.doc_id), r.n_chars, r.fingerprint) for r in got) == sorted(want)
+    follows = brute_next(rows)
+    edited = sorted((repr(d), hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 3] + follows[d, t or ""][1][: len(t or "") // 3]).encode()).hexdigest()) for d, t in rows)
+    assert sorted((repr(r.doc_id), r.edited_sha256) for r in got) == edited
+
+
 def test_fingerprints(spark):
     rows = [(0, "a b c d"), (1, "A  b\tc d"), (2, ""), (3, None), (4, " "), (5, "word"), (6, "x y " * 9000)]
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows).drop("ids", "start"), ["doc_id"]).collect()}
