@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice, pairwise
+from itertools import dropwhile, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +50,22 @@ def has_markers(transcript: str) -> bool:
     return any((m := MARKER.match(x)) and (m["colon"] or m["close"]) and len(m["name"]) > 1 for x in transcript.split("\n"))
 
 
-def seen(transcript: str, marked: bool | None = None, blank: bool = False) -> tuple[list[tuple[str, str, int, int]], np.ndarray]:
-    """A transcript's lines that are not blank, as (line, what follows its marker, role, plainness), and the log-likelihood of each under the six states.
+def blanks_after(transcript: str, blank: int = 0) -> int:
+    """How many blank lines stand at the end of a transcript with ``blank`` of them before it."""
+    lines = transcript.split("\n")
+    return next((i for i, x in enumerate(reversed(lines)) if x.strip()), blank + len(lines))
 
-    For a part of a transcript, ``marked`` tells whether the whole has plain markers, and ``blank`` whether a blank line stands before.
+
+def seen(transcript: str, marked: bool | None = None, blank: int = 0) -> tuple[list[tuple[str, str, int, int]], np.ndarray]:
+    """A transcript's lines that are not blank, as (line, what follows its marker, role, blank lines before), and the log-likelihood of each under the six states.
+
+    For a part of a transcript, ``marked`` tells whether the whole has plain markers, and ``blank`` how many blank lines stand before.
     """
     lines, scores = [], []
     marked = has_markers(transcript) if marked is None else marked
     for line in transcript.split("\n"):
         if not line.strip():
-            blank = True
+            blank += 1
             continue
         m = MARKER.match(line)
         role, plain, rest = -1, NONE, line
@@ -79,9 +85,9 @@ def seen(transcript: str, marked: bool | None = None, blank: bool = False) -> tu
                 row[2 * r] = FIRST_OWN[plain] if role == r else FIRST_OTHER[plain]
                 row[2 * r + 1] = LATER_MARK[plain]
             row[2 * r : 2 * r + 2] += shape
-        lines.append((line, rest, role, plain))
+        lines.append((line, rest, role, blank))
         scores.append(row)
-        blank = False
+        blank = 0
     return lines, np.array(scores).reshape(-1, 6)
 
 
@@ -146,21 +152,21 @@ def viterbi_of_parts(parts: Iterable[np.ndarray]) -> list[np.ndarray]:
 def gather(lines: list[tuple[str, str, int, int]], path: np.ndarray, open_turn: list[str] | None = None) -> list[tuple[int, list[str]]]:
     """The turns (role, lines) that begin in these lines of the given states; lines before the first one go to ``open_turn``."""
     turns: list[tuple[int, list[str]]] = []
-    for (line, rest, role, _), state in zip(lines, path.tolist(), strict=True):
+    for (line, rest, role, blank), state in zip(lines, path.tolist(), strict=True):
         if state % 2 == 0:
             open_turn = [rest if role == state // 2 else line]
             turns.append((state // 2, open_turn))
         else:
-            open_turn.append(line)
+            open_turn += [""] * blank + [line]
     return turns
 
 
 def joined(turns: list[tuple[int, list[str]]]) -> list[tuple[str, str]]:
-    return [(ROLES[r], "\n".join(x for x in text if x.strip())) for r, text in turns]
+    return [(ROLES[r], "\n".join(dropwhile(lambda x: not x.strip(), text))) for r, text in turns]
 
 
 def parse(transcripts: list[str]) -> list[list[tuple[str, str]]]:
-    """The turns (role, text) of each transcript; a marker before a turn's first line is no part of its text."""
+    """The turns (role, text) of each transcript; a marker before a turn's first line is no part of its text, nor are blank lines at either end."""
     found = [seen(t) for t in transcripts]
     return [joined(gather(lines, path)) for (lines, _), path in zip(found, viterbi([s for _, s in found]), strict=True)]
 
@@ -168,11 +174,14 @@ def parse(transcripts: list[str]) -> list[list[tuple[str, str]]]:
 def parse_parts(parts: list[str]) -> Iterator[list[tuple[str, str]]]:
     """The turns of the one transcript that the parts make, with a blank line between them, by the part in which each begins."""
     marked = any(map(has_markers, parts))
-    paths = viterbi_of_parts(seen(p, marked, i > 0)[1] for i, p in enumerate(parts))
+    blanks = [0]
+    for p in parts:
+        blanks.append(blanks_after(p, blanks[-1]) + 1)
+    paths = viterbi_of_parts(seen(p, marked, blank)[1] for p, blank in zip(parts, blanks, strict=False))
     held: list[list[tuple[int, list[str]]]] = []
     last: list[str] | None = None
-    for i, (p, path) in enumerate(zip(parts, paths, strict=True)):
-        turns = gather(seen(p, marked, i > 0)[0], path, last)
+    for p, blank, path in zip(parts, blanks, paths, strict=False):
+        turns = gather(seen(p, marked, blank)[0], path, last)
         if turns:  # what began before has ended
             yield from map(joined, held)
             held, last = [], turns[-1][1]

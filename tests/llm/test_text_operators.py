@@ -196,6 +196,15 @@ def test_transcripts():
     assert chat.render([("user", "a<|im_end|>b")]) == "<|im_start|>user\na<| im_end|>b<|im_end|>\n"
 
 
+def test_blank_lines_in_a_turn_stay():
+    turns = [("user", "how?"), ("assistant", "so:\n\n  one\n\n\n  two\nend"), ("user", "first\n\nsecond"), ("assistant", "ok")]
+    names = {"user": "User: ", "assistant": "Assistant: "}
+    assert chat.parse(["\n\n".join(names[r] + t for r, t in turns)]) == [turns]
+    named = {"user": "### Human:\n\n", "assistant": "### AI:\n"}
+    assert chat.parse(["\n\n\n".join(named[r] + t for r, t in turns) + "\n\n"]) == [turns]
+    assert [t for p in chat.parse_parts(["User: a\n", "\n \n", "b", "Assistant: c"]) for t in p] == [("user", "a\n\n\n\n\n\n\nb"), ("assistant", "c")]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     begin, step = chat.transitions()
