@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, slices, stored, table
+from .common import WORD, documents, flat, slices, stored, table
 from .components import components
 from .words import mix, shingle_sets
 
@@ -84,16 +84,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, column: int) -> Iterator[tu
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key, sketch, brief): each document's set size, class, sketch and its half; key is null for empty sets."""
-    schema = pa.schema([("doc_id", _I64), ("n_shingles", _I64), ("key", _I64), ("sketch", pa.binary()), ("brief", pa.binary())])
+    """(doc_id, text_hash, n_shingles, key, sketch, brief): each document's set size, class, sketch and its half; key is null for empty sets."""
+    schema = pa.schema([("doc_id", _I64), ("text_hash", _I64), ("n_shingles", _I64), ("key", _I64), ("sketch", pa.binary()), ("brief", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches, k, 1):
+        for part, sets in _sets(batches, k, 2):
             sketches = [sketch(s) if len(s) else None for s in sets]
             briefs = [None if x is None else halved(x).tobytes() for x in sketches]
-            yield table(schema, doc_id=part.column(0), n_shingles=[len(s) for s in sets], key=[class_key(s) if len(s) else None for s in sets], sketch=[None if x is None else x.tobytes() for x in sketches], brief=briefs)
+            yield table(schema, doc_id=part.column(0), text_hash=part.column(1), n_shingles=[len(s) for s in sets], key=[class_key(s) if len(s) else None for s in sets], sketch=[None if x is None else x.tobytes() for x in sketches], brief=briefs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary, brief binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key long, sketch binary, brief binary")
 
 
 def common_shingles(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
@@ -205,13 +205,8 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, apart:
     return left.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document (doc_id, text) under links of Jaccard >= num/den.
-
-    component_id is the least doc_id that links reach. Defined cases: a text with fewer than k words has its whole word
-    sequence as its one shingle; null texts and texts without words have no shingles, no links and their own doc_id;
-    repeated rows are documents of equal sets; a null doc_id is never a component_id unless it stands alone.
-    """
+def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """join_groups() with the hash of each document's text and its group: (doc_id, text_hash, n_shingles, component_id, root). Empty sets have no root."""
     docs = docs.select("doc_id", "text")
     meta = stored(classes(docs, k))
     index = postings(docs, k, num, den, common_shingles(docs, k, num, den))
@@ -223,15 +218,33 @@ def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     labels = linked_classes(docs, index, reps, k, num, den)
     least = reps.join(labels, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     groups = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    placed = least.select("key", "root").join(groups, "root").select(F.col("key").alias("_key"), "component_id")
-    return meta.join(placed, F.col("key") == F.col("_key"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = least.select("key", "root").join(groups, "root").select(F.col("key").alias("_key"), "component_id", "root")
+    return meta.join(placed, F.col("key") == F.col("_key"), "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def join_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document (doc_id, text) under links of Jaccard >= num/den.
+
+    component_id is the least doc_id that links reach. Defined cases: a text with fewer than k words has its whole word
+    sequence as its one shingle; null texts and texts without words have no shingles, no links and their own doc_id;
+    repeated rows are documents of equal sets; a null doc_id is never a component_id unless it stands alone.
+    """
+    return grouped(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the first document of their group; a row that repeats a kept doc_id goes, rows without doc_id stay."""
-    kept = join_groups(docs, k, num, den).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group of ``docs``: the one of least doc_id, then least hash of the text, nulls last.
+
+    Each row is judged by its own text, also where a doc_id is repeated or null. Rows without words are in no group and stay.
+    """
+    row = ["_none", "_id", "_hash"]
+    names = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
+    placed = grouped(docs, k, num, den).where("root is not null").select("root", *names, F.col("text_hash").alias("_hash"))
+    first = placed.groupBy("root").agg(F.min(F.struct(*row)).alias("_first")).select("_first.*")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(WORD)
+    named = docs.where(~wordless).select("*", *names, F.xxhash64("text").alias("_hash"))
+    # rows of equal doc_id and text are in one group, so one of them goes on
+    return named.join(first, row).dropDuplicates(row).select(*docs.columns).unionByName(docs.where(wordless))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

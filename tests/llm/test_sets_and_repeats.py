@@ -90,6 +90,30 @@ def test_one_of_each(spark):
     assert sorted(repr(r.doc_id) for r in got) == ["1", "2", "3", "None"]
 
 
+def test_one_of_each_judges_every_row_by_its_text(spark):
+    rows = awkward() + [(300, text(40)), (300, text(40)), (301, "new " + text(30)), (None, None), (None, " "), (302, "a b c")]
+    rows += [(301, rows[0][1]), (None, rows[-6][1] + " end"), (None, edited(rows[11][1], 1)), (-4, rows[3][1]), (4, "")]
+    sets = [shingles(t, 5) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(frame(spark, rows)).collect())
+    members = {}
+    for (d, t), s, g in zip(rows, sets, group, strict=True):
+        if s:
+            members.setdefault(g, set()).add((d is None, d or 0, t))
+    assert [r for r in got if not shingles(r[2], 5)] == sorted((d is None, d or 0, t or "") for (d, t), s in zip(rows, sets, strict=True) if not s)
+    kept = [r for r in got if shingles(r[2], 5)]
+    assert len(kept) == len(members)
+    for those in members.values():
+        (mine,) = [r for r in kept if r in those]
+        assert mine[:2] == min(those)[:2]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     assert jaccard.join_groups(none, 4, 85, 100).count() == 0
