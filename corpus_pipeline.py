@@ -45,7 +45,7 @@ STAGES = [
     ("mixing sources to target weights", mix),
     ("BPE encoding and decoding", encode),
 ]
-#: Trained scores, byte strings and merges have no SQL; tests hold the stages against brute force.
+#: Trained scores, byte strings and merges have no SQL; tests hold the operators of the stages against brute force, none calls run().
 ORACLE_SQL = None
 
 
