@@ -294,7 +294,9 @@ def test_repeated_rows_have_fingerprints_of_their_own(spark, tmp_path, monkeypat
     own = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), ["doc_id"]).collect()}
     want = [(repr(d), len(t or ""), f"{own[i].fingerprint % (1 << 64):016x}") for i, (d, t) in enumerate(rows)]
     assert sorted((repr(r.doc_id), r.n_chars, r.fingerprint) for r in got) == sorted(want)
-    follows = brute_next(rows)
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    follows = dict(zip(order, [*order[1:], order[0]], strict=True))
     edited = sorted((repr(d), hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 3] + follows[d, t or ""][1][: len(t or "") // 3]).encode()).hexdigest()) for d, t in rows)
     assert sorted((repr(r.doc_id), r.edited_sha256) for r in got) == edited
 
