@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from typing import Any
 
 import numpy as np
@@ -25,6 +26,8 @@ from .pretok import Ragged, Units, split
 MAGIC, NO_ID = b"RDTOKEN1", np.iinfo(np.int64).min
 #: Distinct units that a worker remembers before it starts anew.
 REMEMBERED = 3_000_000
+#: Text bytes of a shard, about; documents whose ids are read at a time.
+SHARD_BYTES, READ_DOCS = 64 << 20, 4096
 _WROTE = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -74,6 +77,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that tasks share what is known of units."""
+    return Encoder(path)
+
+
 def place(folder: str) -> tuple[Any, str]:
     """The file system of a shared folder and the path in it."""
     return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -99,46 +108,54 @@ def write_shard(folder: str, shard: int, parts: Iterator[tuple[list[int | None],
     return len(sizes) - 1, int(sizes.sum())
 
 
-def open_shard(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, offsets, ids) of a shard; mapped into memory where the folder is mounted, else read."""
-    system, root = place(folder)
-    path = f"{root}/tokens-{shard:06d}"
-
-    def load(end: str, dtype: str) -> np.ndarray:
-        size = system.get_file_info(f"{path}.{end}").size
-        if not size:
-            return np.empty(0, dtype)
-        if isinstance(system, pa.fs.LocalFileSystem):
-            return np.memmap(f"{path}.{end}", dtype, "r")
-        with system.open_input_file(f"{path}.{end}") as f:
-            return np.frombuffer(f.read(), dtype)
-
-    index = load("idx", "u1")
-    if index[:8].tobytes() != MAGIC:
-        raise ValueError(f"{path}.idx is no index of token ids")
-    width, n = (int(x) for x in index[8:24].view("<u8"))
-    offsets = index[24 : 24 + 8 * (n + 1)].view("<u8").astype(np.int64)
-    return index[24 + 8 * (n + 1) :].view("<i8"), offsets, load("bin", f"<u{width}")
-
-
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
+class Shard:
+    """A shard's doc_ids and offsets, and its ids by ranges; ids are mapped into memory where the folder is mounted, else read range by range."""
+
+    def __init__(self, folder: str, shard: int):
+        system, root = place(folder)
+        path = f"{root}/tokens-{shard:06d}"
+        with system.open_input_file(f"{path}.idx") as f:
+            index = np.frombuffer(f.read(), np.uint8)
+        if index[:8].tobytes() != MAGIC:
+            raise ValueError(f"{path}.idx is no index of token ids")
+        self.width, n = (int(x) for x in index[8:24].view("<u8"))
+        self.offsets = index[24 : 24 + 8 * (n + 1)].view("<u8").astype(np.int64)
+        self.names = index[24 + 8 * (n + 1) :].view("<i8")
+        self.file = system.open_input_file(f"{path}.bin") if not isinstance(system, pa.fs.LocalFileSystem) else None
+        self.mapped = np.memmap(f"{path}.bin", f"<u{self.width}", "r") if self.file is None and self.offsets[-1] else None
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        """The ids from one place of the shard to another."""
+        if self.file is not None:
+            return np.frombuffer(self.file.read_at((stop - start) * self.width, start * self.width), f"<u{self.width}")
+        return self.mapped[start:stop] if self.mapped is not None else np.empty(0, f"<u{self.width}")
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode and write all documents (doc_id, text); (shard, n_docs, n_ids), one row a file.
 
     Null texts are empty, null doc_ids come first; equal doc_ids stand in the order of their texts. ``width`` is the
-    bytes of an id: 2 for vocabularies of up to 65,536 entries.
+    bytes of an id: 2 for vocabularies of up to 65,536 entries; ids that don't fit are an error. A shard is a range of
+    doc_ids of about ``shard_bytes`` of text; a doc_id with more than that makes a longer shard.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if not 0 <= end_id < 1 << 8 * width:
+        raise ValueError(f"the end id {end_id} doesn't fit into {width} bytes")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
+    ranged = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        known, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        if known.library.get_vocab_size(with_added_tokens=True) > 1 << 8 * width:
+            raise ValueError(f"ids of {tokenizer} don't fit into {width} bytes")
 
         def parts() -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
             end = np.array([end_id], np.uint32)
             for batch in batches:
                 for part in slices(batch):
-                    ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                    ids = known.encode([t or "" for t in part.column(1).to_pylist()])
                     yield part.column(0).to_pylist(), [np.concatenate([x, end]) for x in ids]
 
         n_docs, n_ids = write_shard(folder, shard, parts(), width)
@@ -155,13 +172,16 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names, at, ids = open_shard(folder, shard)
-                for i in range(0, len(names), 4096):
-                    stop = min(i + 4096, len(names))
-                    sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[i:stop].tolist(), at[i + 1 : stop + 1].tolist(), strict=True)]
+                whole = Shard(folder, shard)
+                names, at = whole.names, whole.offsets
+                for i in range(0, len(names), READ_DOCS):
+                    stop = min(i + READ_DOCS, len(names))
+                    ids, own = whole.ids(int(at[i]), int(at[stop])), (at[i : stop + 1] - at[i]).tolist()
+                    sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(own[:-1], own[1:], strict=True)]
                     yield table(_READ, doc_id=pa.array(names[i:stop], mask=names[i:stop] == NO_ID), start=base + at[i:stop], n_tokens=np.diff(at[i : stop + 1]), ids_crc32=sums)
 
-    return based.select("shard", "base").repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, shards.count())  # one reading task a shard
+    return based.select("shard", "base").repartition(files, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
