@@ -25,12 +25,16 @@ from .common import WORD, documents, stored
 SHARD_WORDS, MOST_SHARDS = 1 << 17, 1 << 16
 
 
+#: Columns that mix() adds, returned or not.
+WORKING = ("source_size", "weight", "target", "shard", "taken", "quota", "shards", "_source", "_order", "_shard", "_turns", "_rest", "_from", "_size", "_end", "_begin")
+
+
 def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def highest_quotients(parties: DataFrame, group: list[str], votes: str, seats: str, key: list[str], out: str) -> DataFrame:
-    """Adds ``out``: the seats of each party of a group by Sainte-Laguë (ties: ``key`` ascending).
+    """Adds ``out``: the seats of each party of a group by Sainte-Laguë (ties: ``key`` ascending, nulls last).
 
     ``votes`` is the party's non-negative number, ``seats`` how many the group gives out, the same in all its rows.
     """
@@ -44,8 +48,10 @@ def highest_quotients(parties: DataFrame, group: list[str], votes: str, seats: s
     steps = first.where("_e <> 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.abs("_e"))))
     steps = steps.withColumn("_seat", F.when(F.col("_e") > 0, F.col("_r") - F.col("_k")).otherwise(F.col("_r") + F.col("_k") - 1)).where("_seat >= 0")
     quotient = F.col(votes).cast("double") / (2 * F.col("_seat") + 1)
-    rank = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.when(F.col("_e") > 0, quotient).otherwise(-quotient), *key)
-    moved = steps.withColumn("_n", F.row_number().over(rank)).where("_n <= abs(_e)").groupBy(*group, *key).agg(F.sum(F.when(F.col("_e") > 0, -1).otherwise(1)).alias("_moved"))
+    # of equal quotients the first key gets its seat first and gives it back last
+    near = Window.partitionBy(*(group or [F.lit(0)]))
+    back, more = near.orderBy(quotient, *(F.col(c).desc_nulls_first() for c in key)), near.orderBy(-quotient, *(F.col(c).asc_nulls_last() for c in key))
+    moved = steps.withColumn("_n", F.when(F.col("_e") > 0, F.row_number().over(back)).otherwise(F.row_number().over(more))).where("_n <= abs(_e)").groupBy(*group, *key).agg(F.sum(F.when(F.col("_e") > 0, -1).otherwise(1)).alias("_moved"))
     moved = moved.select(*[F.col(c).alias(f"_m_{c}") for c in [*group, *key]], "_moved")
     same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in [*group, *key]]
     return first.join(moved, on=same, how="left").select(*parties.columns, (F.col("_r") + F.coalesce("_moved", F.lit(0))).alias(out))
@@ -79,10 +85,12 @@ def mix(sized: DataFrame, weights: list[int] = (5, 2, 1), share: int = 150, most
     its columns with source_size, weight, target (its source's, words), shard and taken (long).
 
     Defined cases: a null source is a source, the last in order; null or empty texts have size 0 and give nothing;
-    a null doc_id is hashed as an empty string; repeated rows are documents of their own; an empty table gives none.
+    a null doc_id is hashed as an empty string; repeated rows are documents of their own; an empty table gives none;
+    texts of any length are one document; extra columns stay, but those called like a new or a working one are replaced.
     Sources take whole blocks, so a source's words are within one block and its rounding of the target.
     """
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    sized = sized.drop(*WORKING)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     by_source = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most_repeats))
     one = Window.partitionBy(F.lit(0))
     given = by_source.withColumn("_seats", F.round(F.sum("target").over(one) / block_words).cast("long"))

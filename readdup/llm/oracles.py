@@ -18,7 +18,8 @@ def _seats(table: str, group: str, votes: str, seats: str, key: str, out: str) -
 {out}_f AS (SELECT *, CASE WHEN tot > 0 THEN floor({votes}::DOUBLE * {seats} / tot::DOUBLE + 0.5)::BIGINT ELSE 0 END AS r FROM {out}_r),
 {out}_e AS (SELECT *, CASE WHEN tot > 0 THEN (sum(r) OVER ({part}))::BIGINT - {seats} ELSE 0 END AS e FROM {out}_f),
 {out}_s AS (SELECT *, CASE WHEN e > 0 THEN r - k ELSE r + k - 1 END AS seat FROM (SELECT *, unnest(range(1, abs(e)::BIGINT + 1)) AS k FROM {out}_e WHERE e <> 0)),
-{out}_n AS (SELECT *, row_number() OVER ({part} ORDER BY CASE WHEN e > 0 THEN {votes}::DOUBLE / (2 * seat + 1) ELSE -({votes}::DOUBLE / (2 * seat + 1)) END, {key}) AS nth FROM {out}_s WHERE seat >= 0),
+{out}_q AS (SELECT *, {votes}::DOUBLE / (2 * seat + 1) AS quotient FROM {out}_s WHERE seat >= 0),
+{out}_n AS (SELECT *, CASE WHEN e > 0 THEN row_number() OVER ({part} ORDER BY quotient, {key} DESC NULLS FIRST) ELSE row_number() OVER ({part} ORDER BY -quotient, {key} NULLS LAST) END AS nth FROM {out}_q),
 {out}_m AS (SELECT {pick}{key}, sum(CASE WHEN e > 0 THEN -1 ELSE 1 END)::BIGINT AS moved FROM {out}_n WHERE nth <= abs(e) GROUP BY {pick}{key}),
 {out} AS (SELECT f.*, f.r + coalesce(m.moved, 0) AS {out}_seats FROM {out}_e f LEFT JOIN {out}_m m ON {same})"""
 
