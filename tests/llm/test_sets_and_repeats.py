@@ -83,6 +83,63 @@ def test_jaccard_order_of_shingles_does_not_matter(spark, monkeypatch):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_groups(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_jaccard_long_lists(spark, monkeypatch, block):
+    """Families around a text with ever more edits, and outsiders that share its beginning: blocks, rings and cells."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rows = awkward()
+    for start in (1000, 2000):
+        base = text(60)
+        rows += [(start + i, edited(base, i // 6)) for i in range(60)] + [(start + 100 + i, base[: 40 + 3 * i] + " " + text(30 + i)) for i in range(20)]
+    got = jaccard.join_groups(frame(spark, rows), 4, 85, 100).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_groups(rows, 4, 85, 100)
+
+
+def test_cells_of_many_near_copies_give_few_rows(spark, monkeypatch):
+    """A cell's rows are a forest, however many links it has."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 150, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > share], rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)])) for share in np.repeat([0.0, 0.02, 0.08, 0.2, 0.5], 40)]
+    rows = [(i, len(s), 0, i, s.tobytes()) for i, s in enumerate(sets)]
+    want = {frozenset((i, j)) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if 100 * len(np.intersect1d(s, t)) >= 85 * len(np.union1d(s, t))}
+
+    def reach(links, n):
+        root = list(range(n))
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [y if r == x else r for r in root]
+        return {frozenset(i for i in range(n) if root[i] == r) for r in set(root)}
+
+    a, b = jaccard.cell_links(rows, None, 85, 100)
+    assert len(a) < len(rows) < len(want)
+    assert all(int(x) != int(y) for x, y in zip(a, b, strict=True))
+    assert reach(zip(a.tolist(), b.tolist(), strict=True), len(rows)) == reach(map(tuple, want), len(rows))
+    a, b = jaccard.cell_links(rows[::2], rows[1::2], 85, 100)
+    across = [tuple(p) for p in want if sum(p) % 2]
+    assert reach(zip(a.tolist(), b.tolist(), strict=True), len(rows)) == reach(across, len(rows))
+    assert len(jaccard.cell_links([(*r[:3], 5, r[4]) for r in rows], None, 85, 100)[0]) == 0
+
+
+def test_listed_pairs_lose_no_link():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        m = int(rng.integers(1, 120))
+        token, n = rng.integers(0, 5, m), rng.integers(1, 40, m).astype(np.int32)
+        pos = (rng.random(m) * (n - np.ceil(0.85 * n) + 1)).astype(np.int32)
+        key = rng.permutation(m)
+        order = np.lexsort((pos, n, token))
+        token, n, pos, key = token[order], n[order], pos[order], key[order]
+        a, b = jaccard.listed_pairs(token, key, n, pos, 85, 100)
+        want = set()
+        for i in range(m):
+            for j in range(i):
+                small, large = sorted((int(n[i]), int(n[j])))
+                if token[i] == token[j] and 100 * small >= 85 * large and 185 * min(n[i] - pos[i], n[j] - pos[j]) >= 85 * (small + large):
+                    want.add((min(key[i], key[j]), max(key[i], key[j])))
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
 def test_one_of_each(spark):
     rows = [(3, text(50)), (1, None), (2, "")]
     rows += [(4, rows[0][1]), (3, rows[0][1]), (None, "z")]
@@ -157,14 +214,54 @@ def brute_repeats(rows, length=50):
     return sorted(out)
 
 
-def test_repeats(spark):
-    rows = awkward() + [(200, "ab" * 300), (201, "zz" + "ab" * 200 + "q"), (202, "ab" * 25), (203, "b" + "ab" * 24), (204, "0" * 49), (205, "0" * 49), (206, "0" * 51)]
+@pytest.mark.parametrize("length", [3, 9, 20, 50])
+def test_equal_windows_have_equal_keys(length):
+    for letters in (b"ab", b"abcdefgh ", bytes(range(256))):
+        data = [bytes(random.choice(letters) for _ in range(random.randint(0, 120))) * random.choice([1, 3]) for _ in range(20)]
+        data += [d[7:90] + d[:40] for d in data]
+        raw, at = np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data]))
+        key = {}
+        gram, side = repeats.shape(length)
+        seen = 0
+        for a, b, v, row, off in zip(*(x.tolist() for x in repeats.key_runs(raw, at, length)), strict=True):
+            for i in range(a, b):
+                window = bytes(raw[i : i + length])
+                assert at[row] <= i and i + length <= at[row + 1] and key.setdefault(window, v) == v
+                seen += 1
+            if off >= 0:
+                place = bytes(raw[a + off : a + off + gram + side])
+                assert all(place in bytes(raw[i : i + length]) for i in range(a, b))
+        assert seen == sum(max(0, len(d) - length + 1) for d in data)
+
+
+def check_repeats(spark, rows):
     done = repeats.remove_repeats(frame(spark, rows))
     assert sorted(done.columns) == sorted(["doc_id", "text", "key", "n_bytes", "n_removed", "n_spans", "kept"])
     got = [(repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in done.collect()]
     assert sorted(got) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("crowded", [0, 3, repeats.CROWDED])
+def test_repeats(spark, monkeypatch, crowded):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    rows = awkward() + [(200, "ab" * 300), (201, "zz" + "ab" * 200 + "q"), (202, "ab" * 25), (203, "b" + "ab" * 24), (204, "0" * 49), (205, "0" * 49), (206, "0" * 51)]
+    check_repeats(spark, rows)
+
+
+def test_one_line_between_other_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWDED", 50)
+    line = "this line of words stands in every document of all"
+    rows = [(i, f"{text(6)} {line[: 30 + i % 21]} {text(8)}") for i in range(500)]
+    check_repeats(spark, rows)
+
+
+def test_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SCAN_BYTES", 1 << 10)
+    monkeypatch.setattr(repeats, "PACK_BYTES", 4 << 10)
+    long = text(20_000)
+    check_repeats(spark, [(1, long), (2, f"x {long[5000:90000]} y"), (3, long[200:300] + text(30)), (4, "-" * 40_000), (5, None), (6, "")])
+
+
 def test_repeats_as_text(spark):
     done = repeats.remove_repeats(frame(spark, [(1, "é" * 60), (2, "x" + "é" * 60 + "y")]), as_text=True)
     assert {r.doc_id: r.kept for r in done.collect()} == {1: "é" * 60, 2: "xy"}
@@ -190,11 +287,11 @@ def test_may_share_loses_no_window():
     passage = bytes(random.choice(b"abcdefgh ") for _ in range(80))
     strings = [passage[i : i + random.randint(50, 60)] for i in range(0, 20, 3)] + [bytes(random.choice(b"abcdefgh ") for _ in range(55)) for _ in range(10)]
     strings = [s for s in strings if len(s) >= 50]
-    h = np.zeros(len(strings), np.int64)
+    h, off = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
     for i, s in enumerate(strings):
-        _, _, value, _ = repeats.minimiser_runs(np.frombuffer(s, np.uint8), np.array([0, len(s)]), 50)
-        h[i] = int(value[0] >> np.uint64(16))
-    keep = repeats.may_share(strings, h, 50)
+        _, _, value, _, places = repeats.key_runs(np.frombuffer(s, np.uint8), np.array([0, len(s)]), 50)
+        h[i], off[i] = int(value[0] >> np.uint64(16)), places[0]
+    keep = repeats.may_share(strings, h, off, 50)
     for i, s in enumerate(strings):
         for j, t in enumerate(strings):
             if i != j and h[i] == h[j] and {s[a : a + 50] for a in range(len(s) - 49)} & {t[a : a + 50] for a in range(len(t) - 49)}:
@@ -247,6 +344,16 @@ def test_highest_quotients(spark):
         assert {i: got[g, i] for i in have} == have
 
 
+def test_mix_with_clashing_columns(spark):
+    rows = [(i if i % 7 else None, "ab"[i % 2], i % 9) for i in range(60)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    clash = sized.select("*", *(F.lit("x").alias(c) for c in mixing.WORKING), F.lit(1).alias("other"))
+    plain = mixing.mix(sized, shard_words=50)
+    got = mixing.mix(clash, shard_words=50)
+    assert sorted(got.columns) == sorted([*plain.columns, "other"])
+    assert sorted(map(repr, got.drop("other").select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_mixed_documents(spark):
     rows = [(i, "a" if i % 3 else None, " ".join(["x"] * (1 + i % 50))) for i in range(200)] + [(500, "a", None), (501, "a", "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")

@@ -89,7 +89,7 @@ def test_token_files(spark, tmp_path):
     assert token_files.write_tokens(docs(spark, rows).limit(0), f"{folder}-0", SPACED, 0).count() == 0
     (tmp_path / "tokens" / "tokens-000099.idx").write_bytes(b"something else")
     with pytest.raises(ValueError, match="no index"):
-        token_files.open_shard(folder, 99)
+        token_files.Shard(folder, 99)
 
 
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 64, 576 * 64 + 1, 576 * 130])
