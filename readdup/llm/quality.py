@@ -5,8 +5,8 @@ as an indicator. The score is the logistic function of
 
     w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 
-so all pairwise interactions cost as much as one pass over the features. Training runs on the driver by Adagrad over a
-bounded sample of labelled rows; scoring is one map over whole texts.
+so all pairwise interactions cost as much as one pass over the features. Training runs in one task by Adagrad over a
+bounded sample of labelled rows, and only the model comes to the driver; scoring is one map over whole texts.
 """
 
 from __future__ import annotations
@@ -144,7 +144,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), most: int = TRAIN_ROWS) -> Machine:
-    """Fit on labelled documents that are not held out, at most ``most`` of them, those of least hash of doc_id."""
+    """Fit on labelled documents that are not held out, at most ``most`` of them, those of least hash of doc_id.
+
+    Repeated labels of a doc_id count as the largest, repeated documents as often as they stand; null labels, doc_ids
+    and documents without a label are left out. A row's features are no more than the hashed words there are.
+    """
     key = F.xxhash64(F.col("doc_id").cast("string"))
     sample = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     sample = sample.orderBy(key, "doc_id").limit(most)  # at most 16 bytes a row
@@ -159,15 +163,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
                 columns = [part.column(0), pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in cut]), pa.array([weight[a:b].astype(np.float32).tobytes() for a, b in cut]), pa.array([x.tobytes() for x in stats]), part.column(2 + len(metadata))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "weights", "stats", "label"])
 
-    got = chosen.mapInArrow(featured, "doc_id long, words binary, weights binary, stats binary, label int").toArrow()
-    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
-    parts = [(np.frombuffer(w, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for _, w, x, _, _ in rows]
-    stats = np.array([np.frombuffer(x, float) for _, _, _, x, _ in rows]).reshape(len(rows), STATS + len(metadata))
-    return fit(parts, stats, np.array([float(r[4] > 0) for r in rows]))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        parts = [(np.frombuffer(w, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for _, w, x, _, _ in rows]
+        stats = np.array([np.frombuffer(x, float) for _, _, _, x, _ in rows]).reshape(len(rows), STATS + len(metadata))
+        m = fit(parts, stats, np.array([float(r[4] > 0) for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([m.w0]), *(pa.array([np.ascontiguousarray(x, float).tobytes()], pa.binary()) for x in (m.edges, m.w, m.v))], names=["w0", "edges", "w", "v"])
+
+    rows = chosen.mapInArrow(featured, "doc_id long, words binary, weights binary, stats binary, label int")
+    got = rows.repartition(1).mapInArrow(fitted, "w0 double, edges binary, w binary, v binary").first()
+    if got is None:  # no row at all starts no task
+        return fit([], np.empty((0, STATS + len(metadata))), np.empty(0))
+    edges, w, v = (np.frombuffer(got[c], float) for c in ("edges", "w", "v"))
+    return Machine(edges.reshape(-1, BINS - 1), got["w0"], w, v.reshape(-1, FACTORS))
 
 
 def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ("n_chars",), column: str = "score") -> DataFrame:
-    """The rows of ``docs`` with a score from 0 to 1. Null texts count as empty, null metadata as 0; no row is lost."""
+    """The rows of ``docs`` with a score from 0 to 1.
+
+    Null texts count as empty, null metadata as 0; no row is lost or merged; texts of any length are read whole; a column
+    called like the new one is replaced, other columns stay.
+    """
+    docs = docs.drop(column)
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
