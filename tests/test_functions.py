@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,22 +14,37 @@ from readdup.operators.program_groups import ProgramIds, base36, chain
 from readdup.plans.queries import NAME_PATTERN
 
 
+def ascii_number(text):
+    """The number that a text begins with, by the book: an optional minus, then digits; None without digits."""
+    sign, digits = (-1, text[1:]) if text[:1] == "-" else (1, text)
+    n = next((i for i, c in enumerate(digits) if c not in "0123456789"), len(digits))
+    return sign * int(digits[:n]) if n else None
+
+
 @pytest.mark.parametrize("default", [True, False])
 def test_locations(spark, default):
-    both = [("RUNID:123:000000000-ZZZZZ:1:1105:17981:23325", (1105, 17981, 23325)), ("RUNID:123:000000000-ZZZZZ:1:1109:22981:17995", (1109, 22981, 17995)), ("RUNID:7:1203:2886:82292", (1203, 2886, 82292)), ("RUNID:7:1203:2884:16834", (1203, 2884, 16834))]
-    none = (None, None, None)
-    cases = both + [("1109:22981:17995", none if default else (1109, 22981, 17995)), ("1109ABC:22981DEF:17995GHI", none if default else (1109, 22981, 17995)), ("x", none), ("", none)]
-    df = spark.createDataFrame([(n,) for n, _ in cases], "n string")
-    got = df.select(*(c.alias(k) for k, c in names.location(F.col("n"), "default" if default else NAME_PATTERN).items())).collect()
-    assert [tuple(r) for r in got] == [want for _, want in cases]
-    assert df.select(*(c.alias(k) for k, c in names.location(F.col("n"), "").items())).distinct().collect() == [none]
+    rng = random.Random(3)
+    rows = []
+    for fields in (1, 2, 3, 4, 5, 6, 7, 8):
+        for _ in range(12):
+            parts = ["".join(rng.choices("ABCXYZ0123456789-", k=rng.randint(1, 6))) for _ in range(fields)]
+            ends = [rng.randrange(1, 60_000) for _ in range(3)]
+            located = fields in (5, 7) if default else fields >= 3
+            if fields >= 3:
+                parts[-3:] = map(str, ends)
+            rows.append((":".join(parts), *(ends if located else [None] * 3)))
+    rows.append(("", None, None, None))
+    df = spark.createDataFrame(rows, "n string, t int, x int, y int")
+    got = df.select("*", *(c.alias(f"g_{k}") for k, c in names.location(F.col("n"), "default" if default else NAME_PATTERN).items())).collect()
+    assert [r.n for r in got if tuple(r[1:4]) != tuple(r[4:7])] == []
+    assert df.select(*(c.alias(k) for k, c in names.location(F.col("n"), "").items())).distinct().collect() == [(None, None, None)]
 
 
 def test_integer_prefixes(spark):
-    good = [(f"{i}{s}", i) for i in range(-100, 100) for s in ("", "A", "ACGT", ".1")]
-    bad = [(x, None) for x in ("foo", "bar", "abc123", "-foo", "f00", "-f00", "")]
-    got = spark.createDataFrame(good + bad, "t string, n int").select(names.rapid_parse_int(F.col("t")).alias("g"), "n").where("not (g <=> n)")
-    assert got.count() == 0
+    rng = random.Random(4)
+    texts = ["", "-", "7", "-7"] + ["".join(rng.choices("-0123456789xyz. ", weights=[2] + [3] * 10 + [1] * 5, k=rng.randint(1, 8))) for _ in range(600)]
+    got = spark.createDataFrame([(t, ascii_number(t)) for t in texts], "t string, n int").select("t", names.rapid_parse_int(F.col("t")).alias("g"), "n").where("not (g <=> n)")
+    assert got.collect() == []
 
 
 def test_cigars(spark):
@@ -74,21 +91,37 @@ def test_umis(spark):
             spark.createDataFrame([(text, "top")], "u string, s string").select(umi.top_strand_umi(F.col("u"), F.col("s"), duplex)).collect()
 
 
-@pytest.mark.parametrize(
-    ("edges", "components"),
-    [
-        ("5-6 5-8 7-9 7-8 4-2 1-2 3-1", [{5, 6, 7, 8, 9}, {1, 2, 3, 4}]),
-        ("1-3 2-3 0-2 4-3 5-6 7-6 8-8", [{0, 1, 2, 3, 4}, {5, 6, 7}, {8}]),
-        ("1-8 2-6 3-8 4-6 5-8 5-6 7-1", [{1, 2, 3, 4, 5, 6, 7, 8}]),
-    ],
-)
-def test_components(edges, components):
-    u, v = np.array([[int(x) for x in e.split("-")] for e in edges.split()]).T
-    found: dict[int, set[int]] = {}
-    for row, ends in zip(union_find(u, v), (u, v), strict=True):
-        for c, n in zip(row.tolist(), ends.tolist(), strict=True):
-            found.setdefault(c, set()).add(n)
-    assert sorted(map(sorted, found.values())) == sorted(map(sorted, components))
+def flooded(edges):
+    """Components by flooding from every node in turn."""
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found, seen = [], set()
+    for start in near:
+        if start not in seen:
+            part, waiting = set(), [start]
+            while waiting:
+                x = waiting.pop()
+                if x not in part:
+                    part.add(x)
+                    waiting += near[x]
+            seen |= part
+            found.append(sorted(part))
+    return sorted(found)
+
+
+def test_components():
+    rng = random.Random(5)
+    for _ in range(150):
+        n = rng.randint(1, 25)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 30))]
+        u, v = np.array(edges).T
+        found: dict[int, set[int]] = {}
+        for row, ends in zip(union_find(u, v), (u, v), strict=True):
+            for c, x in zip(row.tolist(), ends.tolist(), strict=True):
+                found.setdefault(c, set()).add(x)
+        assert sorted(map(sorted, found.values())) == flooded(edges)
 
 
 def test_program_ids():
