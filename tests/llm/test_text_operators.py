@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -191,6 +192,72 @@ def test_no_word_of_a_table_is_lost():
         assert got == (["s-1", *stray, *cells, "s999"] if closed else ["s-1", *stray, "s999", *cells]), "".join(page)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div>" * 205 + "<ul><li>a<li>b</ul>", "- a\n- b"),
+        ("<table><tr><td>" + "x" * 80 + "<td>b<tr><td>y<td>c</table>", "x" * 80 + "  b\ny" + " " * 81 + "c"),
+        ("<table><tr><td colspan=60>q<td>z<tr>" + "<td>cc" * 60 + "<td>e</table>", "q" + " " * 239 + "z\n" + "cc  " * 60 + "e"),
+        ("<table><tr><td rowspan=3>a<td>b<tr><td>c<tr><td>d<tr><td>e<td>f</table>", "a  b\n   c\n   d\ne  f"),
+        ("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c", "b"),
+        ("<style>.gone, #x {display:none} p.h{visibility:hidden} @media print { i {display:none} } /* b{display:none} */ u{display:none}u{display:inline}</style>"
+         "<div class='a gone'>1</div><div id=x>2</div><p class=h>3<b style='visibility:visible'>4</b><p>5 <i>6</i> <u>7</u>", "4\n\n5 6 7"),
+        ("a <b x='1>2'>c</b> <img alt=5\" tall> d", "a c d"),
+        ("x <a href='foo", "x"),
+        ("<ul><li><ol><li><blockquote>q<p>r</blockquote></ol>s<li></ul>t", "- 1.   q\n\n       r\n  s\n\nt"),
+    ],
+)
+def test_no_limit_of_depth_width_or_span(page, want):
+    assert html.visible_text(page) == want
+
+
+def test_nested_blocks_against_brute_force():
+    """Random trees of blocks and lists, against lines made from the inside out."""
+    rng = random.Random(12)
+
+    def tree(depth):
+        return [rng.choice([rng.choice("abc") * rng.randint(1, 3), *([(rng.choice(["div", "p", "ul", "ol", "blockquote"]), tree(depth - 1))] * 2 if depth else [])]) for _ in range(rng.randint(1, 3))]
+
+    def page(kids, tag=""):
+        item = "<li>{}</li>" if tag in ("ul", "ol") else "{}"
+        return "".join(item.format(k if isinstance(k, str) else f"<{k[0]}>{page(k[1], k[0])}</{k[0]}>") for k in kids)
+
+    def lines(kids, tag=""):
+        """All lines but blank ones."""
+        done, now = [], ""
+        for nth, k in enumerate(kids):
+            if tag in ("ul", "ol"):
+                mark = "- " if tag == "ul" else f"{nth + 1}. "
+                done += [(" " * len(mark) if i else mark) + x for i, x in enumerate(lines([k]))]
+            elif isinstance(k, str):
+                now += k
+            else:
+                done += [now] * bool(now) + [("  " if k[0] == "blockquote" else "") + x for x in lines(k[1], k[0])]
+                now = ""
+        return done + [now] * bool(now)
+
+    for _ in range(400):
+        # a paragraph that opens in a paragraph ends it, so paragraphs stand alone here
+        t = [("ul", tree(2)), "end"] if rng.random() < 0.5 else [("blockquote", tree(2)), ("ol", tree(1))]
+        text = page(t)
+        if "<p>" in text:
+            continue
+        got = [x for x in html.visible_text(text).split("\n") if x]
+        assert got == lines(t), text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", "<ul><li>a", "<table><tr><td>a", "</script ", "<a b=\"", "<table><tr><td rowspan=65534 colspan=1000>a", "</x><div>", "<td rowspan=9>", "<p><table>"])
+def test_hostile_pages_take_linear_time(unit):
+    def seconds(n):
+        page = ("<script>" if "script" in unit else "") + unit * (n // len(unit)) + '"'
+        began = time.thread_time()
+        html.visible_text(page)
+        return time.thread_time() - began
+
+    seconds(10_000)
+    assert seconds(400_000) < 60 * seconds(20_000) + 0.5
+
+
 def test_transcripts():
     assert chat.parse(["User: hi\nhow are you?\nAssistant: fine\n\nUser: ok", "", "Q: what?\nA: that."]) == [[("user", "hi\nhow are you?"), ("assistant", "fine"), ("user", "ok")], [], [("user", "what?"), ("assistant", "that.")]]
     assert chat.render([("user", "a<|im_end|>b")]) == "<|im_start|>user\na<| im_end|>b<|im_end|>\n"
