@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..config import Options
 from .cigar import reference_length, unclipped_end, unclipped_start
@@ -16,44 +14,27 @@ from .scoring import FAILED, MOST
 INSIGNIFICANT, NO_SCORE = 0, -1
 
 
-def walked_bases(seq: str, order: str, from_start: bool, skip: int) -> int:
+def walked_bases(seq: Column, order: Column, from_start: Column, skip: Column) -> Column:
     """How many bases the first ``skip`` flows read, from one end inwards.
 
-    Flows run through ``order`` again and again. Each homopolymer uses the flows up to its base; the walk ends when they
-    are used up, or at the last base. A base that the order lacks ends it as well.
+    Flow number f is of base ``order[f mod n]``, and each homopolymer is read in the next flow of its base, so its flow
+    is the first one's plus the distances in the order from homopolymer to homopolymer. The bases before the first
+    homopolymer behind the skipped flows count, the first homopolymer always, and none behind a base that the order
+    lacks. A text without bases or an empty order has none, and a first base that the order lacks counts alone.
     """
-    bases = seq if from_start else seq[::-1]
-    if not bases:
-        return 0
-    left, flow, n = skip, 0, len(order)
+    bases = F.when(from_start, F.split(seq, "")).otherwise(F.reverse(F.split(seq, "")))
+    n = F.length(order)
+    start = F.struct(F.lit("").alias("base"), F.lit(-1).alias("place"), F.lit(0).alias("flow"), F.lit(0).alias("count"), F.lit(False).alias("over"))
 
-    def up_to(base: str) -> bool:
-        nonlocal left, flow
-        if base not in order:
-            return False
-        while order[flow % n] != base:
-            flow += 1
-            left -= 1
-        return True
+    def step(s: Column, x: Column) -> Column:
+        place = F.position(x, order) - 1
+        first, same = s["count"] == 0, s["base"] == x
+        flow = F.when(first, place).when(same, s["flow"]).otherwise(s["flow"] + F.pmod(place - s["place"], n))
+        over = s["over"] | (~first & ~same & ((place < 0) | (flow >= skip)))
+        return F.struct(x.alias("base"), place.alias("place"), flow.alias("flow"), (s["count"] + F.when(over, 0).otherwise(1)).alias("count"), (over | (first & (place < 0))).alias("over"))
 
-    if not up_to(bases[0]):
-        return 1
-    at = 1
-    while at < len(bases):
-        if bases[at] != bases[at - 1]:
-            left -= 1
-            if left <= 0:
-                break
-            flow += 1
-            if not up_to(bases[at]) or left <= 0:
-                break
-        at += 1
-    return at
-
-
-@F.pandas_udf(IntegerType())
-def walk(seq: pd.Series, order: pd.Series, from_start: pd.Series, skip: pd.Series) -> pd.Series:
-    return pd.Series([walked_bases(s, o, f, k) if s and o else 0 for s, o, f, k in zip(seq, order, from_start, skip, strict=True)], dtype="int32")
+    found = F.aggregate(bases, start, step)["count"]
+    return F.when((F.length(seq) > 0) & (n > 0), found).otherwise(0).cast("int")
 
 
 def end_coordinate(start_end: Column, certain: bool, order: Column, clipping: Column, options: Options) -> Column:
@@ -72,7 +53,7 @@ def end_coordinate(start_end: Column, certain: bool, order: Column, clipping: Co
     if options.use_unpaired_clipped_end:
         return F.when(order.isNull(), unclipped).otherwise(aligned)
     if certain and options.flow_skip_first_n_flows:
-        bases = walk(F.col("seq"), order, start_end, F.lit(options.flow_skip_first_n_flows))
+        bases = walked_bases(F.col("seq"), order, start_end, F.lit(options.flow_skip_first_n_flows))
         return F.when(order.isNull(), unclipped).otherwise(unclipped + F.when(start_end, bases).otherwise(-bases))
     if certain:
         return unclipped

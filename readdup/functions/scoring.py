@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..config import RANDOM, SUM_OF_BASE_QUALITIES
 from .cigar import reference_length
@@ -31,35 +28,44 @@ def mapped_reference_length(cigar: Column, mate_cigar: Column | None = None) ->
     return own + F.when(has_mate() & mate_cigar.isNotNull(), F.least(reference_length(mate_cigar), F.lit(MOST))).otherwise(0)
 
 
-def murmur3(names: pd.Series, seed: int = 1) -> np.ndarray:
-    """MurmurHash3 (32 bits) over texts taken as 16-bit characters, two at a time, for all names at once."""
-    data = [n.encode() for n in names]
-    sizes = np.array([len(d) for d in data])
-    cells = np.zeros((len(data), int(sizes.max(initial=0)) + 2), np.uint32)
-    for i, d in enumerate(data):
-        cells[i, : len(d)] = np.frombuffer(d, np.uint8)
-    h = np.full(len(data), seed, np.uint32)
+_32 = 0xFFFFFFFF
 
-    def turned(x: np.ndarray, bits: int) -> np.ndarray:
-        return x << np.uint32(bits) | x >> np.uint32(32 - bits)
 
-    def scrambled(k: np.ndarray) -> np.ndarray:
-        return turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+def times(a: Column, b: int) -> Column:
+    """a * b modulo 2^32 for numbers below 2^32, in steps that fit 64 bits."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16)
+    return (low * F.lit(b) + F.shiftleft((high * F.lit(b)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_32))
 
-    for at in range(0, cells.shape[1] - 1, 2):
-        whole, half = sizes >= at + 2, sizes == at + 1
-        k = scrambled(cells[:, at] | cells[:, at + 1] << np.uint32(16))
-        h = np.where(whole, turned(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where(half, h ^ scrambled(cells[:, at]), h))
-    h ^= (2 * sizes).astype(np.uint32)
-    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-    return h ^ h >> np.uint32(16)
 
+def turned(x: Column, bits: int) -> Column:
+    """A rotation to the left by ``bits`` of 32."""
+    return F.shiftleft(x, bits).bitwiseAND(F.lit(_32)).bitwiseOR(F.shiftright(x, 32 - bits))
 
-@F.pandas_udf(IntegerType())
-def random_score(names: pd.Series) -> pd.Series:
+
+def murmur3(text: Column, seed: int = 1) -> Column:
+    """MurmurHash3 (32 bits, as a long) of a text of ASCII, as names of reads are, taken as 16-bit characters, two at a time."""
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    size = F.length(text)
+    scrambled = lambda k: times(turned(times(k, 0xCC9E2D51), 15), 0x1B873593)
+    steps = F.when(size >= 2, F.sequence(F.lit(1), F.floor(size / 2).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    # each pair in turn: mixed in, turned, times 5 and a constant
+    paired = F.transform(steps, lambda i: scrambled(F.element_at(codes, 2 * i - 1).bitwiseOR(F.shiftleft(F.element_at(codes, 2 * i), 16))))
+    h = F.aggregate(paired, F.lit(seed).cast("long"), lambda h, k: (turned(h.bitwiseXOR(k), 13) * F.lit(5) + F.lit(0xE6546B64)).bitwiseAND(F.lit(_32)))
+    return F.transform(
+        F.array(F.when(size % 2 == 1, h.bitwiseXOR(scrambled(F.ascii(F.right(text, F.lit(1))).cast("long")))).otherwise(h).bitwiseXOR(2 * size.cast("long"))),
+        lambda h: _ended(h),
+    )[0]
+
+
+def _ended(h: Column) -> Column:
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = times(h.bitwiseXOR(F.shiftright(h, shift)), factor)
+    return h.bitwiseXOR(F.shiftright(h, 16))
+
+
+def random_score(name: Column) -> Column:
     """A score by the read's name alone, from -8191 to 8192, so that mates have the same."""
-    return pd.Series((murmur3(names.fillna("")) & np.uint32(0x3FFF)).astype(np.int64) - 8191)
+    return (murmur3(F.coalesce(name, F.lit(""))).bitwiseAND(F.lit(0x3FFF)) - 8191).cast("int")
 
 
 def read_score(strategy: str, mate_cigar: Column | None = None) -> Column:

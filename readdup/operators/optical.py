@@ -12,22 +12,50 @@ from .duplicate_sets import or_first
 GROUP = ("rep_idx", "optical_group")
 
 
+def located(sets: DataFrame, most: int) -> DataFrame:
+    """Pairs that may be optical duplicates: of sets of two pairs or more and of no more than ``most``, with a known place."""
+    return sets.where(F.col("set_size").between(2, most) & F.col("tile").isNotNull()).select(*GROUP, "library", "rg_ordinal", "tile", "x", "y", F.col("idx1").alias("node"))
+
+
 def edges(sets: DataFrame, distance: int = 100, most: int = 300_000) -> DataFrame:
     """(rep_idx, optical_group, library, u, v): pairs of pairs of one set, read group and tile at most ``distance`` apart in x and in y.
 
     u < v are first reads' indexes. Sets of one pair and of more than ``most`` have none. The join is by cells of the
-    grid, so that large sets are not compared all with all.
+    grid, so that large sets are not compared all with all. These are all edges; links() has no more than connect them.
     """
-    located = sets.where(F.col("set_size").between(2, most) & F.col("tile").isNotNull()).select(*GROUP, "library", "rg_ordinal", "tile", "x", "y", F.col("idx1").alias("node"))
+    places = located(sets, most)
     cell = lambda c: F.floor(F.col(c) / distance)
-    left = located.select(*GROUP, "library", "rg_ordinal", "tile", F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("node").alias("u"), cell("x").alias("cx"), cell("y").alias("cy"))
+    left = places.select(*GROUP, "library", "rg_ordinal", "tile", F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("node").alias("u"), cell("x").alias("cx"), cell("y").alias("cy"))
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    right = located.select(*GROUP, "rg_ordinal", "tile", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("node").alias("v"))
+    right = places.select(*GROUP, "rg_ordinal", "tile", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("node").alias("v"))
     right = right.withColumn("cx", F.explode(F.transform(steps, lambda d: F.floor(F.col("vx") / distance) + d))).withColumn("cy", F.explode(F.transform(steps, lambda d: F.floor(F.col("vy") / distance) + d)))
     close = (F.abs(F.col("ux") - F.col("vx")) <= distance) & (F.abs(F.col("uy") - F.col("vy")) <= distance)
     return left.join(right, [*GROUP, "rg_ordinal", "tile", "cx", "cy"]).where((F.col("u") < F.col("v")) & close).select(*GROUP, "library", "u", "v")
 
 
+def links(sets: DataFrame, distance: int = 100, most: int = 300_000) -> DataFrame:
+    """(rep_idx, optical_group, u, v): edges that connect what all edges connect, no more than a few a pair.
+
+    Pairs in one cell of a grid of side ``distance`` + 1 are all close to each other, so each is linked to the least of
+    its cell. Of two neighbouring cells one edge is enough: in each one the pairs of every x (or y) that stand nearest
+    the other cell can have it, which the least and largest y (or x) among them tell. Of the cells side by side these
+    are pairs by column and row of the grid, so rows grow with the pairs and not with their square.
+    """
+    side = distance + 1
+    placed = located(sets, most).withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    cell = [*GROUP, "rg_ordinal", "tile", "cx", "cy"]
+    inner = placed.select(*GROUP, F.min("node").over(Window.partitionBy(*cell)).alias("u"), F.col("node").alias("v")).where("u <> v")
+    # of a column x of a cell only the least and the largest y can be nearest to a pair of another cell
+    ends = placed.groupBy(*cell, "x").agg(F.min(F.struct("y", "node")).alias("first"), F.max(F.struct("y", "node")).alias("last"))
+    points = ends.select(*cell, "x", F.explode(F.array_distinct(F.array("first", "last"))).alias("p")).select(*cell, "x", F.col("p.y").alias("y"), F.col("p.node").alias("node"))
+    forward = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    asked = points.select(*cell, F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("node").alias("u"), F.inline(forward)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+    met = asked.join(points.select(*cell, F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("node").alias("v")), cell)
+    close = (F.abs(F.col("ux") - F.col("vx")) <= distance) & (F.abs(F.col("uy") - F.col("vy")) <= distance)
+    across = met.where(close).groupBy(*cell, "dx", "dy").agg(F.min(F.struct("u", "v")).alias("e")).select(*GROUP, F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+    return inner.unionByName(across)
+
+
 def union_find(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The component of each end of the edges (u[i], v[i]), numbered 0 to n - 1 by first use: array of 2 rows."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -68,7 +96,7 @@ def optical_pairs(sets: DataFrame, distance: int = 100, most: int = 300_000) ->
     Of each cluster all but one are: the kept one is the set's best pair if it is in the cluster, else the one of least
     x, then y, then place in the order of the set. One rule covers lists of every size.
     """
-    found = clusters(edges(sets, distance, most)).select("rep_idx", F.col("node").alias("idx1"), "cluster")
+    found = clusters(links(sets, distance, most)).select("rep_idx", F.col("node").alias("idx1"), "cluster")
     members = sets.join(found, ["rep_idx", "idx1"])
     order = Window.partitionBy("rep_idx", "cluster").orderBy(F.when(F.col("rank") == 1, 0).otherwise(1), "x", "y", or_first("tile"), "idx1", "idx2")
     return members.withColumn("_place", F.row_number().over(order)).where("_place > 1").select("idx1", "idx2", "library", "rep_idx", "rank")

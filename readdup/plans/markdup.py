@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..config import COORDINATE, Options
 from ..operators import duplicate_sets, ends, flow_sets, marking, metrics, optical, pairs
@@ -83,6 +84,16 @@ class MarkDuplicates:
     def metrics(self) -> DataFrame:
         return metrics.final_metrics(self.raw_metrics, optical.optical_by_library(self.optical), self.options.flow_mode)
 
+    @cached_property
+    def counters(self) -> DataFrame:
+        """One row: how many records, ends, pairs, ends whose mate never came, duplicate reads and optical pairs the run met."""
+        one = F.lit(1)
+        counts = [
+            ("records", self.reads), ("ends", self.ends), ("pairs", self.pairs), ("unmatched", pairs.unmatched(self.ends)), ("duplicates", self.duplicates), ("optical", self.optical),
+        ]
+        each = reduce(DataFrame.unionByName, (df.agg(F.count(one).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counts))
+        return each.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name, _ in counts))
+
     def roi(self) -> DataFrame | None:
         """The return on sequencing, for a file of exactly one library."""
         return metrics.roi_curve(self.metrics) if self.metrics.count() == 1 else None

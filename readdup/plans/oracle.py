@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from ..sources.fixture import READ_GROUPS_SQL, READS_SQL
+from ..sources.fixture import READ_GROUPS_SQL, reads_sql
 
 REF_LEN = "coalesce(list_sum(list_transform(regexp_extract_all({c}, '(\\d+)[MDN=X]', 1), lambda x: x::INT)), 0)"
 LEAD = "(coalesce(TRY_CAST(regexp_extract({c}, '^(?:(\\d+)H)?(?:(\\d+)S)?', 1) AS INT), 0) + coalesce(TRY_CAST(regexp_extract({c}, '^(?:(\\d+)H)?(?:(\\d+)S)?', 2) AS INT), 0))"
-TRAIL = "coalesce(TRY_CAST(regexp_extract({c}, '(\\d+)S$', 1) AS INT), 0)"
+TRAIL = "(coalesce(TRY_CAST(regexp_extract({c}, '(\\d+)S(?:\\d+H)?$', 1) AS INT), 0) + coalesce(TRY_CAST(regexp_extract({c}, '(\\d+)H$', 1) AS INT), 0))"
 FIVE = "CASE WHEN {rev} THEN {pos} + " + REF_LEN + " - 1 + " + TRAIL + " ELSE {pos} - " + LEAD + " END"
 QUALS = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
 SCORE = f"least(list_sum(list_transform({QUALS}, lambda q: CASE WHEN q >= 15 THEN q ELSE 0 END)), 16383) - CASE WHEN (flag & 512) <> 0 THEN 16384 ELSE 0 END"
@@ -30,20 +30,39 @@ def _sets(barcodes: str = "") -> str:
   FROM pairs"""
 
 
+def _times(a: str, b: int) -> str:
+    """a * b modulo 2^32 in 64 bits."""
+    return f"(((({a}) & 65535) * {b} + ((((({a}) >> 16) * {b}) & 65535) << 16)) & 4294967295)"
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"(((({x}) << {bits}) & 4294967295) | (({x}) >> {32 - bits}))"
+
+
+def _scrambled(k: str) -> str:
+    return _times(_turned(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+
+
+_unclipped_start = f"pos - {LEAD.format(c='cigar')}"
+_unclipped_end = f"pos + {REF_LEN.format(c='cigar')} - 1 + {TRAIL.format(c='cigar')}"
 TABLES = {
-    "reads": READS_SQL.strip(),
+    "reads": reads_sql().strip(),
     "groups": READ_GROUPS_SQL.strip(),
     "libs": "SELECT r.*, coalesce(g.library, 'Unknown Library') AS library, CASE WHEN r.rg IS NULL THEN 0 ELSE coalesce(g.rg_ordinal, (SELECT count(*) FROM groups)) END AS rg_ordinal FROM reads r LEFT JOIN groups g ON r.rg = g.rg_id",
     "ends": f"""SELECT idx, qname, rg, library, rg_ordinal, tid AS ref, {FIVE.format(c='cigar', pos='pos', rev='(flag & 16) <> 0')} AS coord, (flag & 16) <> 0 AS reverse, {SCORE} AS score,
-  (flag & 9) = 1 AS has_mate, CASE WHEN (flag & 9) = 1 THEN mtid ELSE -1 END AS mate_ref, (flag & 64) <> 0 AS first, {LOCATION}, bc AS barcode FROM libs WHERE (flag & 2308) = 0""",
+  (flag & 9) = 1 AS has_mate, CASE WHEN (flag & 9) = 1 THEN mtid ELSE -1 END AS mate_ref, (flag & 64) <> 0 AS first, {LOCATION}, bc AS barcode, rx, mc, pos, mpos, mtid, flag, CASE WHEN (flag & 65) <> 1 THEN bx END AS slot1, CASE WHEN (flag & 65) = 1 THEN bz END AS slot2 FROM libs WHERE (flag & 2308) = 0""",
     "mated": "SELECT *, (row_number() OVER (PARTITION BY rg, qname ORDER BY idx) - 1) // 2 AS two FROM ends WHERE has_mate",
     "joined": "SELECT a, b FROM mated a JOIN mated b ON a.rg = b.rg AND a.qname = b.qname AND a.two = b.two AND a.idx < b.idx WHERE a.mate_ref = b.ref AND b.mate_ref = a.ref",
     "turned": "SELECT a, b, CASE WHEN (b.ref > a.ref) OR (b.ref = a.ref AND b.coord >= a.coord) THEN a ELSE b END AS p, CASE WHEN (b.ref > a.ref) OR (b.ref = a.ref AND b.coord >= a.coord) THEN b ELSE a END AS q FROM joined",
     "pairs": f"""SELECT p.idx AS idx1, q.idx AS idx2, a.library AS library, a.rg_ordinal AS rg_ordinal, p.ref AS ref1, p.coord AS coord1, q.ref AS ref2, q.coord AS coord2,
   CASE WHEN p.ref = q.ref AND p.coord = q.coord AND {_orient('p.reverse', 'q.reverse')} = 5 THEN 3 ELSE {_orient('p.reverse', 'q.reverse')} END AS orientation,
-  CASE WHEN b.first THEN {_orient('b.reverse', 'a.reverse')} ELSE {_orient('a.reverse', 'b.reverse')} END AS optical_orientation, a.score + b.score AS score, a.tile AS tile, a.x AS x, a.y AS y, a.barcode AS barcode FROM turned""",
+  CASE WHEN b.first THEN {_orient('b.reverse', 'a.reverse')} ELSE {_orient('a.reverse', 'b.reverse')} END AS optical_orientation, a.score + b.score AS score, a.tile AS tile, a.x AS x, a.y AS y, a.barcode AS barcode, coalesce(a.slot1, b.slot1) AS slot1, coalesce(a.slot2, b.slot2) AS slot2, ua.umi AS umi
+  FROM turned LEFT JOIN umis ua ON ua.idx = a.idx""",
+    "umis": "SELECT idx, CASE WHEN strand = 'bottom' THEN concat(string_split(rx, '-')[2], '-', string_split(rx, '-')[1]) ELSE rx END AS umi FROM strands",
     "sets": _sets(),
     "barcode_sets": _sets("barcode, "),
+    "slot_sets": _sets("slot1, slot2, "),
+    "umi_sets": _sets("umi, "),
     "pair_dups": "SELECT DISTINCT unnest([idx1, idx2]) AS idx FROM sets WHERE rank > 1",
     "frags": """SELECT *, max(has_mate::INT) OVER (PARTITION BY library, ref, coord, reverse) AS any_mate,
   row_number() OVER (PARTITION BY library, ref, coord, reverse, has_mate ORDER BY score DESC, coalesce(tile, -1), coalesce(x, -1), coalesce(y, -1), idx) AS rank FROM ends""",
@@ -83,19 +102,42 @@ TABLES = {
     "flow_cells": f"SELECT *, CASE WHEN (flag & 16) <> 0 THEN list_reverse(string_split(seq, '')) ELSE string_split(seq, '') END AS b, CASE WHEN (flag & 16) <> 0 THEN list_reverse({QUALS}) ELSE {QUALS} END AS q FROM reads",
     "flow_bases": "SELECT idx, flag, unnest(b) AS base, unnest(q) AS qual, generate_subscripts(b, 1) AS i FROM flow_cells",
     "flow_runs": "SELECT *, sum(fresh) OVER (PARTITION BY idx ORDER BY i) AS run FROM (SELECT *, CASE WHEN base = lag(base) OVER (PARTITION BY idx ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM flow_bases)",
+    "turns": "SELECT DISTINCT qname FROM libs WHERE idx IN (SELECT idx FROM dups)",
+    "mur_cells": """SELECT idx, flag, len(qname) AS size, list_transform(range(1, len(qname) + 1), lambda i: ascii(qname[i])::BIGINT) AS code FROM reads""",
+    "mur_mixed": f"""SELECT idx, flag, size, list_transform(range(1, size // 2 + 1), lambda i: {_scrambled('(code[2 * i - 1] | (code[2 * i] << 16))')}) AS pair, CASE WHEN size % 2 = 1 THEN {_scrambled('code[size]')} ELSE 0 END AS rest FROM mur_cells""",
+    "mur_body": "SELECT idx, flag, list_reduce(list_prepend(1::BIGINT, pair), lambda h, k: (((((xor(h, k) << 13) & 4294967295) | (xor(h, k) >> 19)) * 5) + 3864292196) & 4294967295) AS h, rest, size FROM mur_mixed",
+    "mur_a": "SELECT idx, flag, xor(xor(h, rest), 2 * size) AS h FROM mur_body",
+    "mur_b": f"SELECT idx, flag, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM mur_a",
+    "mur_c": f"SELECT idx, flag, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM mur_b",
+    "flow_reads": """SELECT l.*, coalesce(g.flow_order, 'TGCA') AS fo FROM libs l LEFT JOIN groups g ON l.rg = g.rg_id WHERE (l.flag & 2308) = 0 AND (l.flag & 1) = 0""",
+    "flow_each": "SELECT idx, fo, unnest(bases) AS base, generate_subscripts(bases, 1) AS i FROM (SELECT idx, fo, CASE WHEN (flag & 16) <> 0 THEN list_reverse(string_split(seq, '')) ELSE string_split(seq, '') END AS bases FROM flow_reads)",
+    "flow_starts": "SELECT *, lag(base) OVER (PARTITION BY idx ORDER BY i) AS prior FROM flow_each QUALIFY prior IS NULL OR prior <> base",
+    "flow_steps": "SELECT idx, i, sum(CASE WHEN prior IS NULL THEN strpos(fo, base) - 1 ELSE (strpos(fo, base) - strpos(fo, prior) + len(fo)) % len(fo) END) OVER (PARTITION BY idx ORDER BY i) AS flow FROM flow_starts",
+    "flow_walk": "SELECT r.idx, coalesce((SELECT min(s.i) - 1 FROM flow_steps s WHERE s.idx = r.idx AND s.i > 1 AND s.flow >= 2), len(r.seq)) AS walked FROM flow_reads r",
+    "flow_near": f"""SELECT r.*, w.walked, {_unclipped_start} AS us, {_unclipped_end} AS ue, (flag & 16) <> 0 AS reverse, coalesce(tm, '') AS marks FROM flow_reads r JOIN flow_walk w ON r.idx = w.idx""",
+    "flow_scores": "SELECT idx, least(sum(CASE WHEN q >= 15 THEN q ELSE 0 END), 16383) - CASE WHEN (any_value(flag) & 512) <> 0 THEN 16384 ELSE 0 END AS fs FROM flow_quals GROUP BY idx",
+    "flow_ends": f"""SELECT idx, library, tid AS ref, reverse, {LOCATION}, us, ue, pos, cigar, CASE WHEN reverse THEN ue - walked ELSE us + walked END AS near, CASE WHEN reverse THEN us ELSE ue END AS away, marks,
+  CASE WHEN reverse THEN pos + {REF_LEN.format(c='cigar')} - 1 ELSE pos END AS tight, CASE WHEN reverse THEN pos ELSE pos + {REF_LEN.format(c='cigar')} - 1 END AS tight_away, {SCORE} AS plain FROM flow_near""",
+    "flow_far": "SELECT e.*, CASE WHEN NOT regexp_matches(marks, 'A') AND regexp_matches(marks, '[QZ]') THEN 0 ELSE away END AS far, CASE WHEN NOT regexp_matches(marks, '[AQ]') AND regexp_matches(marks, '[QZ]') THEN 0 ELSE away END AS far_q FROM flow_ends e",
+    "flow_chunks": """SELECT f.idx, library, ref, near AS coord, reverse, far, CASE WHEN far = 0 THEN -1 ELSE fs END AS score, tile, x, y,
+  max(CASE WHEN far <> 0 THEN far END) OVER (PARTITION BY library, ref, near, reverse ORDER BY far, coalesce(tile, -1), coalesce(x, -1), coalesce(y, -1), f.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM flow_far f JOIN flow_scores s ON f.idx = s.idx""",
+    "flow_sets": "SELECT *, sum(CASE WHEN far <> 0 AND far - before > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY library, ref, coord, reverse ORDER BY far, coalesce(tile, -1), coalesce(x, -1), coalesce(y, -1), idx) AS chunk FROM flow_chunks",
+    "flow_best": "SELECT idx, row_number() OVER (PARTITION BY library, ref, coord, reverse, chunk ORDER BY score DESC, far, coalesce(tile, -1), coalesce(x, -1), coalesce(y, -1), idx) AS nth FROM flow_sets",
     "flow_quals": "SELECT idx, flag, first_value(qual) OVER (PARTITION BY idx, run ORDER BY i) AS q FROM flow_runs",
 }
 
 
-def query(select: str) -> str:
-    """The statement with all tables that it names, and that these name, before it."""
+def query(select: str, order: str = "coordinate") -> str:
+    """The statement with all tables that it names, and that these name, before it; the reads stand in the given order."""
     needed: list[str] = []
+    tables = TABLES | {"reads": reads_sql(order).strip()}
 
     def need(sql: str, own: str = "") -> None:
-        for name in TABLES:
+        for name in tables:
             if name != own and name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
-                need(TABLES[name], name)
+                need(tables[name], name)
                 needed.append(name)
 
     need(select)
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({TABLES[n]})" for n in needed) + " " + select
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({tables[n]})" for n in needed) + " " + select

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALL, RANDOM, TOTAL_MAPPED_REFERENCE_LENGTH, Options
+from ..config import ALL, COORDINATE, QUERYNAME, RANDOM, TOTAL_MAPPED_REFERENCE_LENGTH, Options
 from ..functions import flow, names, scoring, umi
 from ..functions.cigar import unclipped_5prime
 from ..functions.flags import REVERSE, has, is_candidate
@@ -20,22 +20,27 @@ from .oracle import FIVE, LOCATION, REF_LEN, SCORE, query
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: A documented example of a read-name pattern.
+#: Fixed value: the documented example of a read-name pattern.
 NAME_PATTERN = r"(?:.*:)?([0-9]+)[^:]*:([0-9]+)[^:]*:([0-9]+)[^:]*$"
 
 
-def named(sql: str | None = None) -> Callable[[Query], Query]:
+def named(sql: str, order: str = "coordinate") -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         FOUND[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = query(sql)
+        SQL[f.__name__] = query(sql, order)
         return f
 
     return put
 
 
-def run(spark: SparkSession, sf_dir: str, **options: object) -> MarkDuplicates:
-    return MarkDuplicates(fixture.reads(spark, sf_dir), fixture.read_groups(spark), Options(**options))
+def run(spark: SparkSession, sf_dir: str, order: str = COORDINATE, **options: object) -> MarkDuplicates:
+    return MarkDuplicates(fixture.reads(spark, sf_dir, order), fixture.read_groups(spark), Options(**options), order)
+
+
+def single_reads(spark: SparkSession, sf_dir: str, **options: object) -> MarkDuplicates:
+    """A run in flow mode, which has rules for reads without a mate only."""
+    reads = fixture.reads(spark, sf_dir).where(is_candidate() & ~has(1))
+    return MarkDuplicates(reads, fixture.read_groups(spark), Options(flow_mode=True, **options))
 
 
 @named(f"SELECT idx, {FIVE.format(c='cigar', pos='pos', rev='(flag & 16) <> 0')}::BIGINT AS coord FROM reads WHERE (flag & 2308) = 0")
@@ -69,7 +74,7 @@ def score_ref_length(spark, sf_dir):
     return fixture.reads(spark, sf_dir).select("idx", scoring.read_score(TOTAL_MAPPED_REFERENCE_LENGTH, F.col("mc")).alias("score"))
 
 
-@named()
+@named("SELECT idx, ((xor(h, h >> 16) & 16383) - 8191 - CASE WHEN (flag & 512) <> 0 THEN 16384 ELSE 0 END)::INT AS score FROM mur_c")
 def score_random(spark, sf_dir):
     return fixture.reads(spark, sf_dir).select("idx", scoring.read_score(RANDOM).alias("score"))
 
@@ -231,13 +236,102 @@ def flow_score(spark, sf_dir):
     return fixture.reads(spark, sf_dir).select("idx", flow.flow_score(15, F.lit(1)).alias("score"))
 
 
-@named()
+CHAINED = {"flow_skip_first_n_flows": 2, "flow_quality_sum_strategy": True, "use_end_in_unpaired_reads": True, "unpaired_end_uncertainty": 10}
+
+
+@named("SELECT idx, library, ref, coord::BIGINT AS coord, far::BIGINT AS far, chunk::BIGINT AS chunk, score::INT AS score FROM flow_sets")
 def flow_end_groups(spark, sf_dir):
     """Single reads in flow mode: near end behind two flows, far ends chained within 10 bases."""
-    options = Options(flow_mode=True, flow_skip_first_n_flows=2, flow_quality_sum_strategy=True, use_end_in_unpaired_reads=True, unpaired_end_uncertainty=10)
-    single = fixture.reads(spark, sf_dir).where(is_candidate() & ~has(1))
-    ends = flow_sets.flow_ends(single, fixture.read_groups(spark), options)
-    return flow_sets.chained_sets(ends, options.unpaired_end_uncertainty).select("idx", "library", "ref", "coord", "far", "chunk", "score")
+    job = single_reads(spark, sf_dir, **CHAINED)
+    return flow_sets.chained_sets(job.ends, job.options.unpaired_end_uncertainty).select("idx", "library", "ref", "coord", "far", "chunk", "score")
+
+
+@named("SELECT idx FROM flow_best WHERE nth > 1")
+def flow_duplicate_ids(spark, sf_dir):
+    return single_reads(spark, sf_dir, **CHAINED).duplicates
+
+
+@named("SELECT idx, (CASE WHEN reverse THEN ue ELSE us END)::BIGINT AS coord, far_q::BIGINT AS far, plain::INT AS score FROM flow_far")
+def flow_known_ends(spark, sf_dir):
+    """Ends that the tm tag knows, Q as well as A; scores by base qualities."""
+    return single_reads(spark, sf_dir, flow_q_is_known_end=True, use_end_in_unpaired_reads=True).ends.select("idx", "coord", "far", "score")
+
+
+@named("SELECT idx, tight::BIGINT AS coord, tight_away::BIGINT AS far FROM flow_far")
+def flow_clipped_ends(spark, sf_dir):
+    """Aligned ends, clipped bases left out, in place of unclipped ones."""
+    return single_reads(spark, sf_dir, use_unpaired_clipped_end=True, use_end_in_unpaired_reads=True).ends.select("idx", "coord", "far")
+
+
+@named("SELECT idx, fo AS flow_order FROM flow_reads")
+def flow_orders(spark, sf_dir):
+    job = single_reads(spark, sf_dir)
+    return flow_sets.with_flow_order(job.reads, job.read_groups).select("idx", "flow_order")
+
+
+@named("""SELECT r.library, count(*) AS UNPAIRED_READS_EXAMINED, count(*) FILTER (WHERE r.idx IN (SELECT idx FROM flow_best WHERE nth > 1)) AS UNPAIRED_READ_DUPLICATES, 0::BIGINT AS UNPAIRED_WITH_TLEN FROM flow_reads r GROUP BY r.library""")
+def flow_metrics(spark, sf_dir):
+    return single_reads(spark, sf_dir, **CHAINED).metrics.select("library", "UNPAIRED_READS_EXAMINED", "UNPAIRED_READ_DUPLICATES", "UNPAIRED_WITH_TLEN")
+
+
+@named("SELECT idx1, idx2, rep_idx, set_size FROM slot_sets")
+def read_barcode_duplicate_sets(spark, sf_dir):
+    """Barcodes of the first and of the second read apart."""
+    return run(spark, sf_dir, read_one_barcode_tag="BX", read_two_barcode_tag="BZ").pair_sets.select("idx1", "idx2", "rep_idx", "set_size")
+
+
+@named("SELECT idx1, idx2, rep_idx, set_size FROM umi_sets")
+def duplex_umi_duplicate_sets(spark, sf_dir):
+    return run(spark, sf_dir, barcode_tag="RX", duplex_umi=True).pair_sets.select("idx1", "idx2", "rep_idx", "set_size")
+
+
+@named("SELECT rep_idx, u, v FROM edges WHERE rep_idx IN (SELECT rep_idx FROM sets WHERE set_size <= 3)")
+def optical_edges_of_small_sets(spark, sf_dir):
+    """Sets of more pairs than the guard allows have no optical duplicates."""
+    return run(spark, sf_dir, max_optical_set_size=3).optical_edges.select("rep_idx", "u", "v")
+
+
+@named("SELECT count(*) AS optical FROM optical")
+def optical_total(spark, sf_dir):
+    return run(spark, sf_dir).optical.agg(F.count(F.lit(1)).alias("optical"))
+
+
+@named("SELECT 1.0::DOUBLE AS bin, count(*)::DOUBLE AS all_sets, 0.0::DOUBLE AS optical_sets, count(*)::DOUBLE AS non_optical_sets FROM sets WHERE set_size = 1 HAVING count(*) > 0")
+def setsize_histograms_without_names(spark, sf_dir):
+    """Without read names only single pairs are recorded."""
+    return run(spark, sf_dir, read_name_regex="").set_sizes
+
+
+@named("SELECT l.idx, CASE WHEN l.qname IN (SELECT qname FROM turns) THEN l.flag | 1024 ELSE l.flag & ~1024 END::INT AS flag FROM libs l", QUERYNAME)
+def queryname_marked_flags(spark, sf_dir):
+    """In queryname order the mark is on all records of the name."""
+    return run(spark, sf_dir, QUERYNAME).marked.select("idx", "flag")
+
+
+@named("SELECT a.idx AS idx_a, b.idx AS idx_b FROM joined", QUERYNAME)
+def queryname_mate_pairs(spark, sf_dir):
+    return pairs.join_mates(run(spark, sf_dir, QUERYNAME).ends).select(F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"))
+
+
+@named("""SELECT m.idx, CASE WHEN is_optical THEN 'Z:SQ' WHEN is_duplicate THEN 'Z:LB' END AS dt, 'i:' || r.rep_idx::VARCHAR AS di, 'i:' || r.set_size::VARCHAR AS ds
+FROM marks m LEFT JOIN (SELECT DISTINCT unnest([idx1, idx2]) AS idx, rep_idx, set_size FROM sets WHERE set_size > 1) r ON m.idx = r.idx""")
+def written_tags(spark, sf_dir):
+    """DT, DI and DS as they stand in the tags of the output."""
+    job = run(spark, sf_dir, tagging_policy=ALL, tag_duplicate_set_members=True)
+    job.reads = fixture.with_tags(job.reads)
+    return job.output().select("idx", *(F.try_element_at("tags", F.lit(t)).alias(t.lower()) for t in ("DT", "DI", "DS")))
+
+
+@named("SELECT library FROM final WHERE (SELECT count(*) FROM final) = 1")
+def roi_scope(spark, sf_dir):
+    """The return on sequencing is only of a file with one library; this one has several."""
+    found = run(spark, sf_dir).roi()
+    return spark.createDataFrame([], "library string") if found is None else found.select("library").distinct()
+
+
+@named("SELECT (SELECT count(*) FROM reads) AS records, (SELECT count(*) FROM ends) AS ends, (SELECT count(*) FROM joined) AS pairs, (SELECT count(*) FROM mated) - 2 * (SELECT count(*) FROM joined) AS unmatched, (SELECT count(*) FROM dups) AS duplicates, (SELECT count(*) FROM optical) AS optical")
+def run_counters(spark, sf_dir):
+    return run(spark, sf_dir).counters
 
 
 @named("SELECT DISTINCT pg FROM reads")

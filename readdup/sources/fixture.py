@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One order is a template of one or two reads, some with a secondary or supplementary copy. Integer arithmetic and concatenation only.
-READS_SQL = """
+from ..shared import in_order, shared_dir, stored
+
+#: One order is a template of one or two reads, some with a secondary or supplementary copy, some whose mate never comes. Integer arithmetic and concatenation only.
+_READS = """
 WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM orders),
 n AS (SELECT 1 AS e UNION ALL SELECT 2 AS e UNION ALL SELECT 3 AS e UNION ALL SELECT 4 AS e),
 r AS (
   SELECT k, c, p, n.e AS copy, CASE WHEN n.e = 2 THEN 2 ELSE 1 END AS e, k % 10 AS kind,
     CASE WHEN n.e = 2 AND c % 11 <> 0 THEN 1 ELSE 0 END AS rev, CASE WHEN c % 11 <> 0 THEN 1 ELSE 0 END AS rev2,
-    CAST(5 * (k % 3) AS INT) AS clip
+    CAST(5 * (k % 3) AS INT) AS clip, CASE WHEN k % 17 = 0 THEN 3 ELSE 0 END AS hard
   FROM o CROSS JOIN n
-  WHERE NOT (k % 10 = 7 AND n.e = 2) AND NOT (n.e = 3 AND k % 53 <> 0) AND NOT (n.e = 4 AND k % 59 <> 0)
+  WHERE NOT ((k % 10 = 7 OR k % 101 = 0) AND n.e = 2) AND NOT (n.e = 3 AND k % 53 <> 0) AND NOT (n.e = 4 AND k % 59 <> 0)
 ),
 s AS (
   SELECT *, CASE WHEN k % 97 = 0 THEN -1 WHEN e = 2 AND kind = 9 THEN (c + 1) % 3 ELSE c % 3 END AS tid,
@@ -26,39 +28,61 @@ s AS (
     CASE WHEN k % 97 = 0 OR (kind = 8 AND e = 1) THEN 1 ELSE 0 END AS mun
   FROM r
 ),
+v AS (
+  SELECT *, CASE WHEN clip = 0 THEN '50M' ELSE concat(CAST(clip AS STRING), 'S', CAST(50 - clip AS STRING), 'M') END AS ahead,
+    CASE WHEN clip = 0 THEN '50M' ELSE concat(CAST(50 - clip AS STRING), 'M', CAST(clip AS STRING), 'S') END AS behind
+  FROM s
+),
 t AS (
   SELECT *,
-    CASE WHEN un = 1 THEN '*' WHEN clip = 0 THEN '50M' WHEN rev = 0 THEN concat(CAST(clip AS STRING), 'S', CAST(50 - clip AS STRING), 'M') ELSE concat(CAST(50 - clip AS STRING), 'M', CAST(clip AS STRING), 'S') END AS cigar,
-    CASE WHEN mun = 1 OR kind = 7 THEN NULL WHEN clip = 0 THEN '50M' WHEN mrev = 0 THEN concat(CAST(clip AS STRING), 'S', CAST(50 - clip AS STRING), 'M') ELSE concat(CAST(50 - clip AS STRING), 'M', CAST(clip AS STRING), 'S') END AS mc,
-    CASE WHEN tid = -1 THEN 0 WHEN un = 1 THEN 10000 + 37 * c WHEN rev = 0 THEN u5 + clip ELSE u5 - 49 END AS pos,
-    CASE WHEN mtid = -1 THEN 0 WHEN mun = 1 THEN 10000 + 37 * c WHEN mrev = 0 THEN mu5 + clip ELSE mu5 - 49 END AS mpos,
+    CASE WHEN un = 1 THEN '*' WHEN rev = 0 THEN concat(CASE WHEN hard > 0 THEN '3H' ELSE '' END, ahead) ELSE concat(behind, CASE WHEN hard > 0 THEN '3H' ELSE '' END) END AS cigar,
+    CASE WHEN mun = 1 OR kind = 7 THEN NULL WHEN mrev = 0 THEN concat(CASE WHEN hard > 0 THEN '3H' ELSE '' END, ahead) ELSE concat(behind, CASE WHEN hard > 0 THEN '3H' ELSE '' END) END AS mc,
+    CASE WHEN tid = -1 THEN 0 WHEN un = 1 THEN 10000 + 37 * c WHEN rev = 0 THEN u5 + clip + hard ELSE u5 - 49 - hard END AS pos,
+    CASE WHEN mtid = -1 THEN 0 WHEN mun = 1 THEN 10000 + 37 * c WHEN mrev = 0 THEN mu5 + clip + hard ELSE mu5 - 49 - hard END AS mpos,
     CASE WHEN kind = 7 THEN 0 ELSE 1 + 8 * mun + 32 * mrev + CASE WHEN (e = 1) = (k % 2 = 0) THEN 64 ELSE 128 END END
       + 4 * un + CASE WHEN rev = 1 THEN 16 ELSE 0 END + CASE WHEN k % 41 = 0 THEN 512 ELSE 0 END + CASE WHEN copy = 3 THEN 256 WHEN copy = 4 THEN 2048 ELSE 0 END
       + CASE WHEN k % 37 = 0 THEN 1024 ELSE 0 END AS flag,
     CASE WHEN k % 29 = 0 THEN concat('noloc_', CAST(k AS STRING)) ELSE concat('I', CAST(k AS STRING), ':7:FC:1:', CAST(1101 + p % 3 AS STRING), ':', CAST(1000 + CAST(floor(p / 7.0) AS BIGINT) % 400 AS STRING), ':', CAST(2000 + CAST(floor(p / 11.0) AS BIGINT) % 400 AS STRING)) END AS qname,
     concat(CASE c % 3 WHEN 0 THEN 'ACG' WHEN 1 THEN 'TTC' ELSE 'GAT' END, '-', CASE k % 2 WHEN 0 THEN 'TTC' ELSE 'ACG' END) AS rx,
     CASE WHEN k % 13 = 0 THEN NULL ELSE concat('B', CAST(k % 2 AS STRING)) END AS bc,
+    CASE WHEN k % 11 = 0 THEN NULL ELSE concat('X', CAST(k % 3 AS STRING)) END AS bx, concat('Y', CAST(CAST(floor(k / 3.0) AS BIGINT) % 2 AS STRING)) AS bz,
     CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bwa' WHEN 2 THEN 'bwa.1' ELSE 'MarkDuplicates' END AS pg,
     CASE k % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'AQ' WHEN 2 THEN 'QZ' ELSE NULL END AS tm
-  FROM s
+  FROM v
 )
-SELECT CAST(row_number() OVER (ORDER BY CASE WHEN tid < 0 THEN 1 ELSE 0 END, tid, pos, qname, flag) - 1 AS BIGINT) AS idx,
-  qname, CAST(flag AS INT) AS flag, CAST(tid AS INT) AS tid, CAST(pos AS BIGINT) AS pos, cigar, CAST(mtid AS INT) AS mtid, CAST(mpos AS BIGINT) AS mpos,
+SELECT {idx} qname, CAST(flag AS INT) AS flag, CAST(tid AS INT) AS tid, CAST(pos AS BIGINT) AS pos, cigar, CAST(mtid AS INT) AS mtid, CAST(mpos AS BIGINT) AS mpos,
   substr(repeat('ACGGTTTACC', 6), CAST(1 + k % 7 AS INT), 50) AS seq, repeat(chr(CAST(33 + 5 + (p + 13 * e) % 35 AS INT)), 50) AS qual,
-  concat('RG', CAST(k % 4 AS STRING)) AS rg, mc, rx, bc, pg, tm
+  concat('RG', CAST(k % 4 AS STRING)) AS rg, mc, rx, bc, bx, bz, pg, tm
 FROM t
 """
+#: The order of the reads in a file sorted by coordinate, and in one by name.
+ORDERS = {"coordinate": ("CASE WHEN tid < 0 THEN 1 ELSE 0 END", "tid", "pos", "qname", "flag"), "queryname": ("qname", "flag", "tid", "pos")}
+
+
+def reads_sql(order: str = "coordinate") -> str:
+    """The reads in one statement, for DuckDB."""
+    return _READS.format(idx=f"CAST(row_number() OVER (ORDER BY {', '.join(ORDERS[order])}) - 1 AS BIGINT) AS idx,")
+
+
 READ_GROUPS_SQL = """
 SELECT * FROM (VALUES ('RG0', 0, 'LibA', 'TGCA'), ('RG1', 1, 'LibA', 'TGCA'), ('RG2', 2, 'LibB', 'TACG'), ('RG3', 3, NULL, NULL)) AS g(rg_id, rg_ordinal, library, flow_order)
 """
 #: Tags of the fixture: column, two-letter name, SAM type.
-TAGS = [("mc", "MC", "Z"), ("rx", "RX", "Z"), ("bc", "BC", "Z"), ("pg", "PG", "Z"), ("tm", "tm", "Z")]
+TAGS = [("mc", "MC", "Z"), ("rx", "RX", "Z"), ("bc", "BC", "Z"), ("bx", "BX", "Z"), ("bz", "BZ", "Z"), ("pg", "PG", "Z"), ("tm", "tm", "Z")]
+COLUMNS = ("qname", "flag", "tid", "pos", "cigar", "mtid", "mpos", "seq", "qual", "rg", *(c for c, _, _ in TAGS))
+
+
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reads with their tags as columns of their own."""
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
-    return spark.sql(READS_SQL)
+def reads(spark: SparkSession, sf_dir: str, order: str = "coordinate") -> DataFrame:
+    """The reads with their tags as columns of their own, made once a session: they stand for a file that is there."""
+    name = (spark.sparkContext.applicationId, sf_dir, order)
+    if name not in _KEPT:
+        work = shared_dir(spark)
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+        _KEPT[name] = stored(in_order(spark.sql(_READS.format(idx="").replace("FROM orders", "FROM {orders}"), orders=orders), *ORDERS[order], path=f"{work}/ranges"), f"{work}/reads").select("idx", *COLUMNS)
+    return _KEPT[name]
 
 
 def read_groups(spark: SparkSession) -> DataFrame:

@@ -6,27 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..shared import in_input_order
+
 #: The schema of reads: tag values carry their SAM type (``Z:...``), positions are 1-based, tid is the contig's number or -1.
 SCHEMA = "idx long, qname string, flag int, tid int, pos long, mapq int, cigar string, mtid int, mpos long, tlen long, seq string, qual string, rg string, tags map<string, string>"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The header's lines, in order; the header stands before the records, so it is in the first lines of the file."""
-    lines = spark.read.text(path).where(F.col("value").startswith("@")).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return [r.value for r in lines.orderBy("n").collect()]
-
-
-def with_row_numbers(lines: DataFrame, name: str = "idx") -> DataFrame:
-    """Rows numbered from 0 in the order of the input's partitions, by zipWithIndex: a count of each partition, then its offset."""
-    schema = StructType([*lines.schema, StructField(name, LongType())])
-    return lines.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """The header's lines, in order. It stands before the records, so lines are asked for a few more at a time until one is a record."""
+    lines, n = spark.read.text(path), 1000
+    while True:
+        found = [r.value for r in lines.limit(n).collect()]
+        k = next((i for i, x in enumerate(found) if not x.startswith("@")), None)
+        if k is not None or len(found) < n:
+            return found[:k]
+        n *= 8
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of a SAM file in file order, numbered by ``idx``; all records count, also those that are never looked at."""
     names = [line.split("\t") for line in header(spark, path) if line.startswith("@SQ")]
     number = {dict(f.split(":", 1) for f in x[1:])["SN"]: i for i, x in enumerate(names)}
-    lines = with_row_numbers(spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != "")))
+    lines = in_input_order(spark.read.text(path).where(~F.col("value").rlike("^@[A-Z][A-Z](\t|$)") & (F.col("value") != "")))
     part = F.split("value", "\t")
     at = F.create_map(*(F.lit(y) for x in number.items() for y in x)) if number else F.expr("cast(map() as map<string, int>)")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readdup.functions import cigar, flow, names, scoring, umi
+from readdup.operators import optical
 from readdup.operators.optical import union_find
 from readdup.operators.program_groups import ProgramIds, base36, chain
 from readdup.plans.queries import NAME_PATTERN
@@ -60,9 +62,7 @@ def test_scores(spark):
     assert df.where(scoring.read_score("sum_of_base_qualities") != F.col("want")).count() == 0
 
 
-def test_murmur_against_scalar():
-    import pandas as pd
-
+def test_murmur_against_scalar(spark):
     def one(b: bytes, seed: int = 1) -> int:
         m = 0xFFFFFFFF
         rot = lambda x, r: (x << r | x >> (32 - r)) & m
@@ -78,8 +78,11 @@ def test_murmur_against_scalar():
             h = (h ^ h >> shift) * times & m
         return h ^ h >> 16
 
-    texts = ["", "a", "ab", "abc", "I1:7:FC:1:1101:1000:2000", "x" * 99]
-    assert scoring.murmur3(pd.Series(texts)).tolist() == [one(t.encode()) for t in texts]
+    rng = random.Random(6)
+    texts = ["", "a", "ab", "abc", *("".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(0, 60))) for _ in range(200))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoring.murmur3(F.col("t")).alias("h"), scoring.random_score(F.col("t")).alias("s")).collect()
+    assert {r.t: r.h for r in got} == {t: one(t.encode()) for t in texts}
+    assert {r.t: r.s for r in got} == {t: (one(t.encode()) & 0x3FFF) - 8191 for t in texts}
 
 
 def test_umis(spark):
@@ -133,10 +136,41 @@ def test_program_ids():
     assert records == [{"ID": "MD", "PN": "MarkDuplicates", "VN": "1", "CL": "md in.bam"}, {"ID": "MD.1", "PN": "MarkDuplicates", "VN": "1", "CL": "md in.bam", "PP": "bwa"}]
 
 
-def test_flow_walk():
+def flows_read(seq, order, from_start, skip):
+    """Bases that the first flows read, flow by flow."""
+    bases, flow, count = seq if from_start else seq[::-1], -1, 0
+    if not bases or not order or bases[0] not in order:
+        return min(1, len(bases)) if order else 0
+    for i, (base, run) in enumerate(itertools.groupby(bases)):
+        if base not in order:
+            break
+        flow += 1
+        while order[flow % len(order)] != base:
+            flow += 1
+        if i and flow >= skip:
+            break
+        count += len(list(run))
+    return count
+
+
+def test_flow_walk(spark):
+    rng = random.Random(7)
+    rows = [("".join(rng.choices("ACGTTTN", weights=[4, 4, 4, 4, 4, 4, 1], k=rng.randint(0, 40))), rng.choice(["TGCA", "TACG", "TGC", ""]), rng.random() < 0.5, rng.randint(0, 30)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "seq string, o string, f boolean, k int")
+    got = df.select("seq", "o", "f", "k", flow.walked_bases(F.col("seq"), F.col("o"), F.col("f"), F.col("k")).alias("n")).collect()
+    assert [tuple(r) for r in got if r.n != flows_read(r.seq, r.o, r.f, r.k)] == []
     # flows T G C A: TT uses one, G the next, A two more
-    assert flow.walked_bases("TTGA", "TGCA", True, 1) == 2
-    assert flow.walked_bases("TTGA", "TGCA", True, 2) == 3
-    assert flow.walked_bases("AGTT", "TGCA", False, 2) == 3
-    assert flow.walked_bases("TTTT", "TGCA", True, 9) == 4
-    assert flow.walked_bases("", "TGCA", True, 2) == 0
+    assert flows_read("TTGA", "TGCA", True, 1) == 2 and flows_read("TTGA", "TGCA", True, 2) == 3
+
+
+def test_optical_links_connect_what_edges_connect(spark):
+    rng = random.Random(8)
+    rows = []
+    for rep in range(12):
+        spread = rng.choice([30, 300, 900])
+        rows += [(rep, 0, "L", rng.randint(0, 1), rng.randint(1, 2), rng.randint(0, spread), rng.randint(0, spread), rep * 1000 + i, 150, 1) for i in range(150)]
+    sets = spark.createDataFrame(rows, "rep_idx long, optical_group int, library string, rg_ordinal int, tile int, x int, y int, idx1 long, set_size long, rank int")
+    every = optical.clusters(optical.edges(sets, 20)).select("rep_idx", "node", "cluster")
+    few = optical.links(sets, 20)
+    assert few.count() < optical.edges(sets, 20).count() and few.count() <= 5 * len(rows)
+    assert sorted(map(tuple, optical.clusters(few).select("rep_idx", "node", "cluster").collect())) == sorted(map(tuple, every.collect()))
