@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,55 +11,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove, shared_dir, stored
+
+__all__ = ["documents", "flat", "remove", "shared_dir", "slices", "stored", "table", "words_of"]
 #: Text bytes that one numpy batch holds at most, unless a single text is longer.
 BATCH_BYTES = 2 << 20
 #: Words are runs of anything but these bytes.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Spark's setting for shuffle files to go at the end of an execution.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see, removed when the driver's Python ends.
-
-    It lies in the cluster's ``spark.checkpoint.dir``. Only in local mode, where driver and executors are one process,
-    may that be unset; then it is a temporary folder.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='readdup-')}"
-    path = f"{root.rstrip('/')}/readdup-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by shared_dir() or a table in it; a session that has ended is no error."""
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # the session may be gone when the process ends
-        pass
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read from there: later stages survive lost executors.
-
-    Shuffle files of the write go when it has ended, as nothing else reads them.
-    """
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column) -> Column:

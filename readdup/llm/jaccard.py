@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, flat, remove, shared_dir, slices, stored, table
@@ -300,32 +300,35 @@ def centred(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def block_pairs(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Entries (token, key, n, pos, ring, group, inside) of long lists in their blocks, and the pairs of blocks that may hold a link between groups.
 
-    A block has one size class, ring, eighth of the prefix and side (inside the first centre's group or not); a class
-    with more sets or shingles than a block should have is dealt out by hash.
+    Kinds of entries have one side (inside the first centre's group or not), size class, ring and eighth of the prefix.
+    In that order kinds with few sets or shingles share a block, and one with many is dealt by hash to parts of the
+    size of a block. Only counts of kinds meet in a list's window, however long it is.
     """
-    classed = entries.select(
-        "token", "key", "n", "pos", "group",
-        F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int").alias("c"),
-        "ring", F.floor(8 * F.col("pos") / (F.col("n") - F.ceil(F.col("n") * num / den) + 1)).cast("int").alias("eighth"), "inside",
+    kind = ["token", "inside", "c", "ring", "eighth"]
+    classed = entries.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
+    classed = classed.withColumn("eighth", F.floor(8 * F.col("pos") / (F.col("n") - F.ceil(F.col("n") * num / den) + 1)).cast("int")).select(*kind, "key", "n", "pos", "group")
+    left = F.col("n") - F.col("pos")
+    weight = F.greatest(F.lit(1 / BLOCK_SETS), F.col("n") / BLOCK_SHINGLES)
+    kinds = classed.groupBy(*kind).agg(F.sum(weight).alias("load"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(left).alias("left"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    before = Window.partitionBy("token").orderBy(*kind[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("block", F.floor(F.coalesce(F.sum("load").over(before), F.lit(0.0))).cast("long"))
+    blocks = kinds.groupBy("token", "block").agg(
+        F.ceil(F.sum("load")).cast("int").alias("parts"), F.min("n0").alias("n0"), F.max("n1").alias("n1"), F.max("left").alias("left"),
+        F.min("ring").alias("r0"), F.max("ring").alias("r1"), F.min("g0").alias("g0"), F.max("g1").alias("g1"),
     )
-    name = ["token", "c", "ring", "eighth", "inside"]
-    kinds = classed.groupBy(*name).agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"),
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("group").alias("g0"), F.max("group").alias("g1"),
-    )
-    kinds = kinds.withColumn("kind", F.xxhash64(*name))
-    placed = classed.join(kinds.select(*name, "kind", "parts"), name).select("token", "kind", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "n", "pos", "group")
-    columns = ["c", "ring", "kind", "parts", "n0", "n1", "left", "g0", "g1"]
-    x, y = kinds.select("token", *(F.col(c).alias(f"x_{c}") for c in columns)), kinds.select("token", *(F.col(c).alias(f"y_{c}") for c in columns))
+    placed = classed.join(kinds.select(*kind, "block"), kind).join(blocks.select("token", "block", "parts"), ["token", "block"])
+    placed = placed.select("token", "block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "n", "pos", "group")
+    columns = [c for c in blocks.columns if c != "token"]
+    x, y = blocks.select("token", *(F.col(c).alias(f"x_{c}") for c in columns)), blocks.select("token", *(F.col(c).alias(f"y_{c}") for c in columns))
     near = (
-        (F.col("x_kind") <= F.col("y_kind"))
-        & (F.abs(F.col("x_c") - F.col("y_c")) <= 1)
-        & (F.abs(F.col("x_ring") - F.col("y_ring")) <= 1)
+        (F.col("x_block") <= F.col("y_block"))
+        & (den * F.col("x_n1") >= num * F.col("y_n0")) & (den * F.col("y_n1") >= num * F.col("x_n0"))
+        & (F.col("x_r0") - F.col("y_r1") <= 1) & (F.col("y_r0") - F.col("x_r1") <= 1)
         & ((num + den) * F.least("x_left", "y_left") >= num * (F.col("x_n0") + F.col("y_n0")))
         & (F.least("x_g0", "y_g0") != F.greatest("x_g1", "y_g1"))
-    )
-    pairs = x.join(y, "token").where(near).select("token", F.col("x_kind").alias("k1"), F.col("y_kind").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)).alias("p1"), "y_parts")
-    pairs = pairs.select("token", "k1", "p1", "k2", F.explode(F.sequence(F.lit(0), F.col("y_parts") - 1)).alias("p2")).where("k1 <> k2 or p1 <= p2")
+    )
+    pairs = x.join(y, "token").where(near).select("token", F.col("x_block").alias("b1"), F.col("y_block").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)).alias("p1"), "y_parts")
+    pairs = pairs.select("token", "b1", "p1", "b2", F.explode(F.sequence(F.lit(0), F.col("y_parts") - 1)).alias("p2")).where("b1 <> b2 or p1 <= p2")
     return placed, pairs
 
 
@@ -382,9 +385,9 @@ def cell_links(left: list[tuple], right: list[tuple] | None, num: int, den: int)
 def cells(placed: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links that connect what all links between groups in pairs of blocks connect."""
     schema = pa.schema([("a", _I64), ("b", _I64)])
-    side = lambda k, p, i: pairs.select("token", F.col(k).alias("kind"), F.col(p).alias("part"), "k1", "p1", "k2", "p2", F.lit(i).alias("side"))
-    ends = side("k1", "p1", 0).unionByName(side("k2", "p2", 1).where("k1 <> k2 or p1 <> p2"))
-    name = ["token", "k1", "p1", "k2", "p2"]
+    side = lambda b, p, i: pairs.select("token", F.col(b).alias("block"), F.col(p).alias("part"), "b1", "p1", "b2", "p2", F.lit(i).alias("side"))
+    ends = side("b1", "p1", 0).unionByName(side("b2", "p2", 1).where("b1 <> b2 or p1 <> p2"))
+    name = ["token", "b1", "p1", "b2", "p2"]
 
     def check(rows: list[list[tuple]]) -> pa.RecordBatch | None:
         first, *second = rows
@@ -405,7 +408,7 @@ def cells(placed: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: i
         if held and (out := check(held)):
             yield out
 
-    met = ends.join(placed, ["token", "kind", "part"]).join(sets, "key").select(*name, "side", "key", "n", "pos", "group", "set")
+    met = ends.join(placed, ["token", "block", "part"]).join(sets, "key").select(*name, "side", "key", "n", "pos", "group", "set")
     return met.repartition(*name).sortWithinPartitions(*name, "side").mapInArrow(run, "a long, b long")
 
 
