@@ -13,13 +13,16 @@ from .ends import tag_value
 LIBRARY, SEQUENCING = "LB", "SQ"
 
 
-def marked(reads: DataFrame, duplicates: DataFrame, optical: DataFrame, order: str = "coordinate") -> DataFrame:
+def marked(reads: DataFrame, duplicates: DataFrame, optical: DataFrame | None, order: str = "coordinate") -> DataFrame:
     """The reads with is_duplicate and is_optical, and the flag's duplicate bit set or cleared to match.
 
+    Without ``optical`` nobody asks for is_optical, and it is false.
+
     In coordinate order the reads themselves are marked. In queryname order the mark spreads to every record of the
     name: secondary, supplementary and unmapped ones.
     """
-    ids = duplicates.select("idx", F.lit(True).alias("_dup")).join(optical.select("idx", F.lit(True).alias("_opt")), "idx", "left")
+    ids = duplicates.select("idx", F.lit(True).alias("_dup"))
+    ids = ids.withColumn("_opt", F.lit(None).cast("boolean")) if optical is None else ids.join(optical.select("idx", F.lit(True).alias("_opt")), "idx", "left")
     out = reads.join(ids, "idx", "left")
     if order == QUERYNAME:
         name = Window.partitionBy("qname")

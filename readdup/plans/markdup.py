@@ -10,25 +10,36 @@ from pyspark.sql import functions as F
 
 from ..config import COORDINATE, Options
 from ..operators import duplicate_sets, ends, flow_sets, marking, metrics, optical, pairs
+from ..shared import remove, stored
 
 
 @dataclass
 class MarkDuplicates:
     """Frames of a run over ``reads`` and the header's ``read_groups``; each is planned when it is asked for.
 
-    In queryname order marks, DI and DS go to the name, so that all its records have them.
+    In queryname order marks, DI and DS go to the name, so that all its records have them. With ``work``, a folder made
+    by shared_dir(), ends, pair sets, duplicates and optical pairs are stored in it once, for all frames that need them;
+    close() deletes them.
     """
 
     reads: DataFrame
     read_groups: DataFrame
     options: Options
     order: str = COORDINATE
+    work: str | None = None
+
+    def once(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, f"{self.work}/{name}") if self.work else df
+
+    def close(self) -> None:
+        if self.work:
+            remove(self.reads.sparkSession, self.work)
 
     @cached_property
     def ends(self) -> DataFrame:
         if self.options.flow_mode:
-            return flow_sets.flow_ends(self.reads, self.read_groups, self.options)
-        return ends.read_ends(self.reads, self.read_groups, self.options)
+            return self.once(flow_sets.flow_ends(self.reads, self.read_groups, self.options), "ends")
+        return self.once(ends.read_ends(self.reads, self.read_groups, self.options), "ends")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -36,7 +47,7 @@ class MarkDuplicates:
 
     @cached_property
     def pair_sets(self) -> DataFrame:
-        return duplicate_sets.pair_sets(self.pairs, self.options.use_barcodes)
+        return self.once(duplicate_sets.pair_sets(self.pairs, self.options.use_barcodes), "pair_sets")
 
     @cached_property
     def fragment_sets(self) -> DataFrame:
@@ -45,8 +56,8 @@ class MarkDuplicates:
     @cached_property
     def duplicates(self) -> DataFrame:
         if self.options.flow_mode:
-            return flow_sets.flow_duplicates(self.ends, self.options)
-        return duplicate_sets.duplicates(self.pair_sets, self.fragment_sets)
+            return self.once(flow_sets.flow_duplicates(self.ends, self.options), "duplicates")
+        return self.once(duplicate_sets.duplicates(self.pair_sets, self.fragment_sets), "duplicates")
 
     @cached_property
     def representatives(self) -> DataFrame:
@@ -60,12 +71,13 @@ class MarkDuplicates:
     @cached_property
     def optical(self) -> DataFrame:
         sets = self.pair_sets if self.options.read_name_regex else self.pair_sets.limit(0)
-        return optical.optical_pairs(sets, self.options.optical_distance, self.options.max_optical_set_size)
+        return self.once(optical.optical_pairs(sets, self.options.optical_distance, self.options.max_optical_set_size), "optical")
 
     @cached_property
     def marked(self) -> DataFrame:
         """All reads with is_duplicate, is_optical and the flag to match; nothing is dropped yet."""
-        return marking.marked(self.reads, self.duplicates, optical.optical_duplicates(self.optical), self.order)
+        places = optical.optical_duplicates(self.optical) if self.options.need_optical_ids else None
+        return marking.marked(self.reads, self.duplicates, places, self.order)
 
     def output(self, contigs: Column | None = None) -> DataFrame:
         """The reads to write: flags and tags set, removed duplicates gone."""

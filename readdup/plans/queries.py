@@ -156,12 +156,12 @@ def optical_by_library(spark, sf_dir):
 
 @named("SELECT idx, new_flag::INT AS flag, is_duplicate, is_optical FROM marks")
 def marked_flags(spark, sf_dir):
-    return run(spark, sf_dir).marked.select("idx", "flag", "is_duplicate", "is_optical")
+    return run(spark, sf_dir, tagging_policy=ALL).marked.select("idx", "flag", "is_duplicate", "is_optical")
 
 
 @named("SELECT idx, CASE WHEN is_optical THEN 'SQ' WHEN is_duplicate THEN 'LB' END AS dt FROM marks")
 def dt_tags(spark, sf_dir):
-    return run(spark, sf_dir).marked.select("idx", marking.duplicate_type(ALL).alias("dt"))
+    return run(spark, sf_dir, tagging_policy=ALL).marked.select("idx", marking.duplicate_type(ALL).alias("dt"))
 
 
 @named("SELECT idx, new_flag::INT AS flag FROM marks WHERE NOT is_duplicate")

@@ -2,7 +2,8 @@
 
 A BAM file is a chain of small gzip members (blocks). Reading splits a file by compressed offsets: a split starts at the
 first block at or behind its offset in which a chain of records starts, and ends where the next split does, so every
-record is read once and no index is needed. Writing makes one file a partition; ``single`` joins them to one file.
+record is read once and no index is needed. A folder stands for its files in the order of their names, which have one
+header. Writing makes a folder of whole files, one a partition; ``single`` joins them to one file instead, on the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .sam import SCHEMA
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 #: Row of a file: its split and place in it, then the reads' columns without ``idx``.
 RAW = "part int, row long, " + SCHEMA.removeprefix("idx long, ")
+#: How many records a split has.
+COUNTS = "part int, n long"
 SPLIT_BYTES, BLOCK_BYTES, LONGEST_RECORD = 32 << 20, 0xFF00, 1 << 26
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _FIXED = struct.Struct("<iiBBHHHiiii")
@@ -222,21 +225,38 @@ def encode_header(header: list[str], contigs: list[tuple[str, int]]) -> bytes:
 
 
 class Split(InputPartition):
-    def __init__(self, number: int, start: int, stop: int):
-        self.number, self.start, self.stop = number, start, stop
+    def __init__(self, number: int, file: str, start: int, stop: int):
+        self.number, self.file, self.start, self.stop = number, file, start, stop
+
+
+def files(path: str) -> list[tuple[str, int]]:
+    """(file, size) of a BAM file, or of all in a folder in the order of their names."""
+    system, inner = place(path)
+    info = system.get_file_info(inner)
+    if info.type != pyarrow.fs.FileType.Directory:
+        return [(inner, info.size)]
+    found = system.get_file_info(pyarrow.fs.FileSelector(inner))
+    return sorted((x.path, x.size) for x in found if x.is_file and x.base_name.endswith(".bam"))
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, count: bool):
+        self.path, self.split_bytes, self.count = path, split_bytes, count
 
     def partitions(self) -> list[Split]:
-        system, path = place(self.path)
-        size = system.get_file_info(path).size
-        return [Split(i, a, min(size, a + self.split_bytes)) for i, a in enumerate(range(0, max(size, 1), self.split_bytes))]
+        every = [(f, size, a) for f, size in files(self.path) for a in range(0, max(size or 0, 1), self.split_bytes)]
+        return [Split(i, f, a, min(size, a + self.split_bytes)) for i, (f, size, a) in enumerate(every)]
 
     def read(self, split: Split) -> Iterator[tuple]:
-        system, path = place(self.path)
+        if self.count:
+            yield (split.number, sum(1 for _ in self.records(split)))
+        else:
+            for row, record in enumerate(self.records(split)):
+                yield (split.number, row, *decode(record))
+
+    def records(self, split: Split) -> Iterator[bytes]:
+        """The bytes of the records that start in a split."""
+        system, path = place(self.path)[0], split.file
         size = system.get_file_info(path).size
         with system.open_input_file(path) as f:
             _, contigs, first, inner = header_of(f, size)
@@ -244,7 +264,7 @@ class BamReader(DataSourceReader):
             if first >= split.stop:
                 return
             data, at, edges = b"", None, []  # edges: where each block begins in data
-            row, stopped = 0, None
+            stopped = None
             for offset, content in blocks(f, start, size):
                 if stopped is None and offset >= split.stop:
                     stopped = len(data)  # records that start behind belong to the next split
@@ -266,8 +286,8 @@ class BamReader(DataSourceReader):
                     n = struct.unpack_from("<i", data, at)[0]
                     if at + 4 + n > len(data):
                         break
-                    yield (split.number, row, *decode(data[at + 4 : at + 4 + n]))
-                    row, at = row + 1, at + 4 + n
+                    yield data[at + 4 : at + 4 + n]
+                    at += 4 + n
                 if stopped is not None and at >= stopped:
                     return
                 if at > 1 << 20:
@@ -280,19 +300,25 @@ class Wrote(WriterCommitMessage):
 
 
 class BamWriter(DataSourceWriter):
-    """Files ``part-N.bam`` of blocks without header, then ``header.bam`` before and the end mark behind them, or all in one file."""
+    """A folder of whole files ``part-N.bam``, or one file that the driver joins from them."""
 
     def __init__(self, path: str, header: bytes, single: bool):
         self.path, self.header, self.single = path, header, single
 
+    def folder(self) -> tuple[Any, str]:
+        system, path = place(self.path)
+        return system, f"{path}.parts" if self.single else path
+
     def write(self, rows: Iterator[Any]) -> Wrote:
         from pyspark import TaskContext
 
-        system, path = place(self.path)
-        system.create_dir(f"{path}.parts", recursive=True)
+        system, folder = self.folder()
+        system.create_dir(folder, recursive=True)
         number, held, size, first = TaskContext.get().partitionId(), [], 0, None
-        name = f"{path}.parts/part-{number:06d}-{TaskContext.get().taskAttemptId()}.bam"
+        name = f"{folder}/part-{number:06d}-{TaskContext.get().taskAttemptId()}.bam"
         with system.open_output_stream(name) as out:
+            if not self.single:
+                out.write(self.header)
             for row in rows:
                 first = row.idx if first is None else first
                 held.append(encode(row))
@@ -303,71 +329,78 @@ class BamWriter(DataSourceWriter):
                     out.write(compressed(whole[:cut]))
                     held, size = [whole[cut:]], len(whole) - cut
             out.write(compressed(b"".join(held)))
-        return Wrote(None if first is None else name, -1 if first is None else first)
+            if not self.single:
+                out.write(END)
+        return Wrote(name, number)
 
     def commit(self, messages: list[Wrote | None]) -> None:
-        system, path = place(self.path)
-        files = [m.file for m in sorted((m for m in messages if m and m.file), key=lambda m: m.first)]
+        """Files of attempts that no message names are deleted, so that no record stands twice."""
+        system, folder = self.folder()
+        wrote = [m.file for m in sorted((m for m in messages if m and m.file), key=lambda m: m.first)]
         if not self.single:
-            with system.open_output_stream(f"{path}.parts/header.bam") as out:
-                out.write(self.header)
+            for x in system.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+                if x.base_name.startswith("part-") and x.path not in wrote:
+                    system.delete_file(x.path)
             return
-        with system.open_output_stream(path) as out:
+        with system.open_output_stream(place(self.path)[1]) as out:
             out.write(self.header)
-            for name in files:
+            for name in wrote:
                 with system.open_input_stream(name) as part:
                     while chunk := part.read(1 << 22):
                         out.write(chunk)
             out.write(END)
-        system.delete_dir(f"{path}.parts")
+        system.delete_dir(folder)
 
     def abort(self, messages: list[Wrote | None]) -> None:
-        system, path = place(self.path)
-        if system.get_file_info(f"{path}.parts").type != pyarrow.fs.FileType.NotFound:
-            system.delete_dir(f"{path}.parts")
+        system, folder = self.folder()
+        if system.get_file_info(folder).type != pyarrow.fs.FileType.NotFound:
+            system.delete_dir(folder)
 
 
 class BamSource(DataSource):
-    """Options: path; reading: split_bytes; writing: header (lines joined by line feeds), single (true)."""
+    """Options: path; reading: split_bytes, count (false: records; true: their number in each split); writing: header (lines joined by line feeds), single (false)."""
 
     @classmethod
     def name(cls) -> str:
         return "bam"
 
     def schema(self) -> str:
-        return RAW
+        return COUNTS if self.options.get("count") == "true" else RAW
 
     def reader(self, schema: StructType) -> BamReader:
-        return BamReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)))
+        return BamReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)), self.options.get("count") == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> BamWriter:
         from .header import contigs
 
         lines = self.options.get("header", "").split("\n")
-        return BamWriter(self.options["path"], encode_header([x for x in lines if x], contigs(lines)), self.options.get("single", "true") == "true")
+        return BamWriter(self.options["path"], encode_header([x for x in lines if x], contigs(lines)), self.options.get("single") == "true")
 
 
 def header(path: str) -> list[str]:
-    system, inner = place(path)
-    with system.open_input_file(inner) as f:
-        return header_of(f, system.get_file_info(inner).size)[0]
+    """The header of a file, or of the first one of a folder."""
+    found = files(path)
+    if not found:
+        raise ValueError(f"no BAM file in {path}")
+    with place(path)[0].open_input_file(found[0][0]) as f:
+        return header_of(f, found[0][1])[0]
 
 
 def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of a BAM file, numbered in file order by ``idx``: a count of each split, whose sums shift its rows."""
+    """The records of a BAM file or folder, numbered in file order by ``idx``: splits are counted first, without decoding, and their sums shift their rows."""
     spark.dataSource.register(BamSource)
-    raw = spark.read.format("bam").option("split_bytes", split_bytes).load(path)
-    counts = {r["part"]: r["n"] for r in raw.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a split
+    source = spark.read.format("bam").option("split_bytes", split_bytes)
+    raw = source.load(path)
     base, shift = 0, []
-    for part in sorted(counts):
+    for part, n in sorted(tuple(r) for r in source.option("count", "true").load(path).collect()):  # a row a split
         shift.append((part, base))
-        base += counts[part]
+        base += n
     of = spark.createDataFrame(shift, "part int, base long")
     return raw.join(F.broadcast(of), "part").withColumn("idx", F.col("base") + F.col("row")).select(*(f.name for f in StructType.fromDDL(SCHEMA)))
 
 
-def write(reads: DataFrame, header: list[str], path: str, single: bool = True) -> None:
-    """The reads in the order of ``idx``, range-partitioned, so that files in turn are the whole."""
+def write(reads: DataFrame, header: list[str], path: str, single: bool = False) -> None:
+    """The reads in the order of ``idx``, range-partitioned, so that files in the order of their names are the whole."""
     reads.sparkSession.dataSource.register(BamSource)
     columns = [f.name for f in StructType.fromDDL(SCHEMA)]
     ordered = reads.select(*(F.col(c) if c in reads.columns else F.lit(None).alias(c) for c in columns)).repartitionByRange("idx").sortWithinPartitions("idx")

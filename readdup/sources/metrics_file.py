@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from .bam import place
+
 
 def shown(x: object) -> str:
     """Numbers with six decimals at most, without trailing zeros; nothing for null."""
@@ -28,5 +30,7 @@ def render(metrics: DataFrame, histograms: DataFrame | None = None, headers: lis
 
 
 def write(path: str, *args: object, **more: object) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(render(*args, **more))
+    """The file's text at a local path or a URI of any file system that pyarrow knows."""
+    system, inner = place(path)
+    with system.open_output_stream(inner) as f:
+        f.write(render(*args, **more).encode())

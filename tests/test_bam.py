@@ -26,7 +26,7 @@ def test_round_trip(spark, tmp_path, split):
     data = list(rows(3000))
     df = spark.createDataFrame(data, sam.SCHEMA)
     path = str(tmp_path / "x.bam")
-    bam.write(df, HEAD, path)
+    bam.write(df, HEAD, path, single=True)
     assert bam.header(path) == HEAD
     got = bam.read(spark, path, split).orderBy("idx").collect()
     assert [r.idx for r in got] == list(range(3000))
