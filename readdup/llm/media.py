@@ -106,6 +106,7 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     times: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    number: int = 0
 
     def key_ranges(self) -> list[tuple[int, int]]:
         """First byte and end of each keyframe."""
@@ -123,10 +124,71 @@ def expand(sizes: np.ndarray, runs: np.ndarray, chunks: np.ndarray) -> np.ndarra
     return (np.repeat(chunks, of)[:n] + sums[:n] - sums[first[:n]]).astype(np.int64)
 
 
+def compact_sizes(view: memoryview, at: int) -> np.ndarray:
+    """The samples' sizes of a compact table (stz2), in 4, 8 or 16 bits each."""
+    bits, n = view[at + 7], struct.unpack_from(">I", view, at + 8)[0]
+    if bits == 4:
+        pairs = np.frombuffer(view, np.uint8, (n + 1) // 2, at + 12)
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
+    if bits not in (8, 16):
+        raise ValueError(f"sample sizes of {bits} bits")
+    return np.frombuffer(view, ">u1" if bits == 8 else ">u2", n, at + 12).astype(np.int64)
+
+
+class Fragments:
+    """Samples of movie fragments: runs (trun) behind track headers (tfhd), with the defaults of the movie (trex)."""
+
+    def __init__(self) -> None:
+        self.defaults: dict[int, tuple[int, int, int]] = {}  # duration, size, flags
+        self.found: dict[int, list[np.ndarray]] = {}  # a row a sample: offset, size, duration, whether it is a keyframe
+        self.start = self.track = self.place = self.base = 0
+        self.own = (0, 0, 0)
+
+    def header(self, view: memoryview, at: int) -> None:
+        flags = int.from_bytes(view[at + 1 : at + 4], "big")
+        self.track, at = struct.unpack_from(">I", view, at + 4)[0], at + 8
+        self.base = self.place = self.start
+        if flags & 1:
+            self.base = self.place = struct.unpack_from(">Q", view, at)[0]
+        at += 8 * bool(flags & 1) + 4 * bool(flags & 2)
+        own = list(self.defaults.get(self.track, (0, 0, 0)))
+        for i, bit in enumerate((8, 16, 32)):
+            if flags & bit:
+                own[i] = struct.unpack_from(">I", view, at)[0]
+                at += 4
+        self.own = tuple(own)
+
+    def run(self, view: memoryview, at: int) -> None:
+        flags, n = int.from_bytes(view[at + 1 : at + 4], "big"), struct.unpack_from(">I", view, at + 4)[0]
+        at += 8
+        if flags & 1:
+            self.place = self.base + struct.unpack_from(">i", view, at)[0]
+            at += 4
+        first = struct.unpack_from(">I", view, at)[0] if flags & 4 else None
+        at += 4 * bool(flags & 4)
+        wide = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        cells = np.frombuffer(view, ">u4", n * len(wide), at).astype(np.int64).reshape(n, len(wide))
+        duration, size, kind = (cells[:, wide.index(bit)] if bit in wide else np.full(n, own) for bit, own in zip((0x100, 0x200, 0x400), self.own, strict=True))
+        kind = kind.copy()
+        if first is not None and n:
+            kind[0] = first
+        offset = self.place + np.cumsum(size) - size
+        self.place += int(size.sum())
+        self.found.setdefault(self.track, []).append(np.stack([offset, size, duration, kind & 0x10000 == 0], 1))
+
+
 def index(data: bytes) -> list[Track]:
-    """The tracks of a media file, from its boxes alone."""
-    view, tracks = memoryview(data), []
+    """The tracks of a media file, from its boxes alone, fragments behind the movie's own samples. A file that is cut off or malformed raises ValueError."""
+    try:
+        return _index(memoryview(data))
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"the media file is cut off or malformed: {e}") from e
+
+
+def _index(view: memoryview) -> list[Track]:
+    tracks: list[Track] = []
     tables: dict[bytes, np.ndarray] = {}
+    fragments = Fragments()
 
     def close() -> None:
         if tracks:
@@ -135,15 +197,26 @@ def index(data: bytes) -> list[Track]:
             t.keys = np.sort(tables[b"stss"] - 1) if b"stss" in tables else np.arange(len(t.sizes))
             tables.clear()
 
-    for path, a, b in walk(view):
+    for path, a, _ in walk(view):
         kind = path[-1]
+        if kind == b"moof":
+            fragments.start = a - 8
+        elif kind == b"trex":
+            number, _, *own = struct.unpack_from(">5I", view, a + 4)
+            fragments.defaults[number] = tuple(own)
+        elif kind == b"tfhd":
+            fragments.header(view, a)
+        elif kind == b"trun":
+            fragments.run(view, a)
         if kind == b"trak":
             close()
             tracks.append(Track())
         if b"trak" not in path:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t.number = struct.unpack_from(">I", view, a + (20 if view[a] == 1 else 12))[0]
+        elif kind == b"mdhd":
             wide = view[a] == 1
             t.timescale, t.duration = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
         elif kind == b"hdlr":
@@ -153,6 +226,8 @@ def index(data: bytes) -> list[Track]:
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", view, a + 4)
             t.sizes = np.full(n, size, np.int64) if size else np.frombuffer(view, ">u4", n, a + 12).astype(np.int64)
+        elif kind == b"stz2":
+            t.sizes = compact_sizes(view, a)
         elif kind in (b"stco", b"co64"):
             n = struct.unpack_from(">I", view, a + 4)[0]
             tables[b"stco"] = np.frombuffer(view, ">u4" if kind == b"stco" else ">u8", n, a + 8).astype(np.int64)
@@ -168,19 +243,36 @@ def index(data: bytes) -> list[Track]:
             each = np.repeat(steps[:, 1], steps[:, 0])
             t.times = np.cumsum(each) - each
     close()
+    for t in tracks:
+        if t.number in fragments.found:
+            offset, size, duration, key = np.concatenate(fragments.found[t.number]).T
+            before, at = len(t.sizes), t.duration if len(t.sizes) else 0
+            t.offsets, t.sizes = np.concatenate([t.offsets, offset]), np.concatenate([t.sizes, size])
+            t.keys = np.concatenate([t.keys, before + np.flatnonzero(key)])
+            t.times = np.concatenate([t.times, at + np.cumsum(duration) - duration])
+            t.duration = int(at + duration.sum())
     return tracks
 
 
-def read(data: bytes) -> bytes:
-    """The samples of the first track, in order, as the sample tables place them."""
-    t = index(data)[0]
+def samples(data: bytes, t: Track) -> bytes:
+    """The samples of a track, in order, as its sample tables place them; a place outside the file raises ValueError."""
     if not len(t.sizes):
         return b""
+    if len(t.offsets) < len(t.sizes) or t.offsets.min() < 0 or int((t.offsets + t.sizes).max()) > len(data):
+        raise ValueError("the sample tables point outside the file")
     joins = np.flatnonzero(t.offsets[1:] != t.offsets[:-1] + t.sizes[:-1]) + 1
     begins, ends = t.offsets[np.append(0, joins)], (t.offsets + t.sizes)[np.append(joins - 1, len(t.sizes) - 1)]
     return b"".join(data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True))
 
 
+def read(data: bytes) -> bytes:
+    """The samples of the first track; a file without tracks raises ValueError."""
+    tracks = index(data)
+    if not tracks:
+        raise ValueError("the media file has no track")
+    return samples(data, tracks[0])
+
+
 def feature(t: Track, payload: bytes) -> str:
     """Codec, seconds, samples, keyframes and their byte ranges' CRC, and the samples' mean and range, from what was read back."""
     keys = np.array(t.key_ranges(), "<i8")
@@ -190,7 +282,7 @@ def feature(t: Track, payload: bytes) -> str:
 
 _COLUMNS = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
-     ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("first_key", pa.int64()), ("last_key_end", pa.int64())]
+     ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 )
 
 
@@ -209,7 +301,8 @@ def store_media(docs: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Each document (doc_id, text) through its media file and back: sizes, digests, sample-table columns and a feature.
 
-    Null and empty texts become one frame of fill bytes. Rows keep their number; equal texts give equal values.
+    ``keyframes`` has the byte range of each keyframe in the file. Null and empty texts become one frame of fill bytes;
+    an empty table gives an empty one. Rows keep their number; equal texts give equal values; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +312,14 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     data = (t or "").encode()
                     media = write(padded(data))
-                    track, back = index(media)[0], read(media)
-                    keys = track.key_ranges()
-                    for column, x in zip(rows, (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(track, back), track.codec.strip(), track.duration / track.timescale, keys[0][0], keys[-1][1]), strict=True):
+                    track = index(media)[0]
+                    back = samples(media, track)
+                    for column, x in zip(rows, (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(track, back), track.codec.strip(), track.duration / track.timescale, [{"start": a, "end": b} for a, b in track.key_ranges()]), strict=True):
                         column.append(x)
                 yield table(_COLUMNS, doc_id=part.column(0), **dict(zip(_COLUMNS.names[1:], rows, strict=True)))
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double"}
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in _COLUMNS))
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{f.name} {kinds.get(f.type, 'array<struct<start: long, end: long>>')}" for f in _COLUMNS))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

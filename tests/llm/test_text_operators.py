@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import time
 import zlib
 
@@ -93,6 +94,69 @@ def test_token_files(spark, tmp_path):
         token_files.Shard(folder, 99)
 
 
+def sample_table(count, compact):
+    """A movie with one track of ``count`` samples of 1 to 15 bytes, without sync table, their sizes in 4, 8 or 16 bits or in 32."""
+    sizes = [1 + i % 15 for i in range(count)]
+    if compact == 32:
+        box = media.full(b"stsz", struct.pack(">II", 0, count), struct.pack(f">{count}I", *sizes))
+    elif compact == 4:
+        even = [*sizes, 0]
+        box = media.full(b"stz2", bytes([0, 0, 0, 4]), struct.pack(">I", count), bytes(even[i] << 4 | even[i + 1] for i in range(0, count, 2)))
+    else:
+        box = media.full(b"stz2", bytes([0, 0, 0, compact]), struct.pack(">I", count), struct.pack(f">{count}{'B' if compact == 8 else 'H'}", *sizes))
+    payload = bytes(i % 251 for i in range(sum(sizes)))
+    body = media.box(b"mdat", payload)
+    table = media.box(b"stbl", media.full(b"stsc", struct.pack(">4I", 1, 1, count, 1)), box, media.full(b"stco", struct.pack(">II", 1, 8)))
+    return body + media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", table)))), payload, sizes
+
+
+@pytest.mark.parametrize("compact", [4, 8, 16, 32])
+def test_sizes_of_samples(compact):
+    file, payload, sizes = sample_table(37, compact)
+    (track,) = media.index(file)
+    assert track.sizes.tolist() == sizes and media.read(file) == payload
+    at = np.cumsum([8, *sizes])
+    assert track.key_ranges() == [(int(a), int(b)) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_fragments():
+    head = media.box(b"moov", media.box(b"trak", media.full(b"tkhd", struct.pack(">III", 0, 0, 7))), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 10, 4, 0x10000))))
+
+    def fragment(first, sizes):
+        run = lambda place: media.full(b"trun", struct.pack(">IiI", len(sizes), place, 0), struct.pack(f">{len(sizes)}I", *sizes), flags=0x205)
+        moof = lambda place: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), run(place)))
+        return moof(len(moof(0)) + 8) + media.box(b"mdat", bytes([first]) * sum(sizes))
+
+    file = head + fragment(1, [3, 5]) + fragment(2, [2, 2, 2])
+    (track,) = media.index(file)
+    assert track.sizes.tolist() == [3, 5, 2, 2, 2] and track.keys.tolist() == [0, 2] and track.duration == 50 and track.times.tolist() == [0, 10, 20, 30, 40]
+    assert media.read(file) == b"\1" * 8 + b"\2" * 6
+    assert [file[a:b] for a, b in track.key_ranges()] == [b"\1\1\1", b"\2\2"]
+
+
+def test_broken_media():
+    whole = media.write(media.padded(b"x" * 5000))
+    for cut in range(0, 2000, 7):
+        with pytest.raises(ValueError):
+            media.read(whole[:cut])
+    with pytest.raises(ValueError, match="no track"):
+        media.read(media.box(b"ftyp", b"isom"))
+
+
+def test_media_columns(spark):
+    rows = [(1, "abc" * 9000), (2, None), (3, ""), (None, "é"), (1, "abc" * 9000)]
+    got = media.media_columns(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        data = next((t or "").encode() for d, t in rows if d == r.doc_id)
+        file = media.write(media.padded(data))
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(data), len(media.padded(data)), len(file))
+        assert r.payload_sha256 == hashlib.sha256(media.padded(data)).hexdigest() and r.media_sha256 == hashlib.sha256(file).hexdigest()
+        # every sixteenth frame is a keyframe, and stands where the payload does
+        assert [file[k.start : k.end] for k in r.keyframes] == [media.padded(data)[i : i + 576] for i in range(0, len(media.padded(data)), 16 * 576)]
+    assert media.media_columns(docs(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 64, 576 * 64 + 1, 576 * 130])
 def test_media_round_trip(n):
     data = random.Random(n).randbytes(n)
