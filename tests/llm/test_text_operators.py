@@ -143,7 +143,7 @@ def test_broken_media():
         media.read(media.box(b"ftyp", b"isom"))
 
 
-def test_media_columns(spark):
+def test_keyframe_columns(spark):
     rows = [(1, "abc" * 9000), (2, None), (3, ""), (None, "é"), (1, "abc" * 9000)]
     got = media.media_columns(docs(spark, rows)).collect()
     assert len(got) == len(rows)
