@@ -7,6 +7,8 @@ halves), so a document takes 32 sums. A fingerprint is the 64 majorities as 16 h
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,27 +49,36 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def block_tables(found: DataFrame, radius: int) -> DataFrame:
-    """The distinct fingerprints of ``found`` in radius + 1 tables: (block, lead, fingerprint), ``lead`` being the table's leading bits.
+def masks(radius: int, more: int) -> list[int]:
+    """The bits that each table leads with: all but ``radius`` of radius + ``more`` blocks of the 64 bits, in every choice."""
+    blocks = radius + more
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    return [sum(c) for c in combinations(block, more)]
+
 
-    Two fingerprints that differ in at most ``radius`` of 64 bits agree in one of radius + 1 blocks at least, so they
-    share a lead in that block's table.
+def block_tables(found: DataFrame, radius: int, more: int) -> DataFrame:
+    """The distinct fingerprints of ``found`` in permuted tables: (table, lead, fingerprint), ``lead`` being the bits that the table's order begins with.
+
+    Two fingerprints that differ in at most ``radius`` bits differ in so many of radius + ``more`` blocks at most, so
+    they share the lead of a table, which has ``more`` of the blocks: the more, the longer it is and the fewer chance
+    meetings there are.
     """
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    leads = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fingerprint", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if edges[i + 1] - edges[i] < 63 else -1)).alias("lead")) for i in range(radius + 1)))
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, more)]
+    leads = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("lead")) for i, m in enumerate(signed)))
     return found.select("fingerprint").distinct().select(F.inline(leads), "fingerprint")
 
 
-def within(queries: DataFrame, found: DataFrame, radius: int = 3) -> DataFrame:
+def within(queries: DataFrame, found: DataFrame, radius: int = 3, more: int = 3) -> DataFrame:
     """(query, fingerprint, distance): all fingerprints of ``found`` within ``radius`` bits of one of ``queries``, itself included.
 
     Both are tables with a column ``fingerprint``; equal ones are searched once, whoever holds them, so a group of
-    copies costs no more than one document. Null fingerprints find nothing.
+    copies costs no more than one document. Null fingerprints find nothing. By default 20 tables have leads of 31 to 33 bits.
     """
-    left = block_tables(queries.where("fingerprint is not null"), radius).withColumnRenamed("fingerprint", "query")
-    right = block_tables(found.where("fingerprint is not null"), radius)
+    left = block_tables(queries.where("fingerprint is not null"), radius, more).withColumnRenamed("fingerprint", "query")
+    right = block_tables(found.where("fingerprint is not null"), radius, more)
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
-    return left.join(right, ["block", "lead"]).where(distance <= radius).select("query", "fingerprint", distance.alias("distance")).distinct()
+    return left.join(right, ["table", "lead"]).where(distance <= radius).select("query", "fingerprint", distance.alias("distance")).distinct()
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -135,3 +146,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), shown("_own").alias("fingerprint"), shown("_edited").alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_edited")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"),
     )
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_documents, n_near): for each document whose id is divisible by 20 how many other documents have a fingerprint within 3 bits of its own, and how many such fingerprints there are besides it.
+
+    Documents without words have no neighbours. Repeated rows are documents of their own.
+    """
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    of_text = stored(fingerprints(docs.groupBy("hash").agg(F.first("text").alias("text")), ["hash"]).where("n_terms > 0"))
+    marked = docs.select("doc_id", "hash").join(of_text.select("hash", "fingerprint"), "hash", "left")
+    counts = marked.where("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    asked = marked.where("doc_id % 20 = 0")
+    met = within(asked, of_text).join(counts, "fingerprint").groupBy("query").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("prints"))
+    out = asked.join(met, F.col("fingerprint") == F.col("query"), "left")
+    return out.select("doc_id", F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_documents"), F.coalesce(F.col("prints") - 1, F.lit(0)).alias("n_near"))

@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_token_files": token_files.op9_token_files,
         "op10_suffix_dedup": repeats.op10_suffix_dedup,
+        "near_fingerprints": fingerprints.near_fingerprints,
     }
 
 

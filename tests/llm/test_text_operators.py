@@ -430,6 +430,33 @@ def test_repeated_rows_have_fingerprints_of_their_own(spark, tmp_path, monkeypat
     follows = dict(zip(order, [*order[1:], order[0]], strict=True))
     edited = sorted((repr(d), hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 3] + follows[d, t or ""][1][: len(t or "") // 3]).encode()).hexdigest()) for d, t in rows)
     assert sorted((repr(r.doc_id), r.edited_sha256) for r in got) == edited
+    texts = {t or "" for _, t in rows} | {(t or "")[: len(t or "") - len(t or "") // 3] + follows[d, t or ""][1][: len(t or "") // 3] for d, t in rows}
+    numbered = dict(enumerate(sorted(texts)))
+    of = {numbered[r.doc_id]: r.fingerprint % (1 << 64) for r in fingerprints.fingerprints(spark.createDataFrame(list(numbered.items()), "doc_id long, text string"), ["doc_id"]).collect()}
+    alike = lambda a, b: 1 - (of[a] ^ of[b]).bit_count() / 64
+    want = []
+    for d, t in rows:
+        t = t or ""
+        after = follows[d, t][1]
+        changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        want.append((repr(d), f"{of[changed]:016x}", alike(t, changed), alike(t, after)))
+    assert sorted((repr(r.doc_id), r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == sorted(want)
+
+
+def test_near_fingerprints(spark, tmp_path):
+    rng = random.Random(31)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(10)]
+    rows = [(i, base[i % 10] + (f" {'xyz'[i % 3]}" if i % 4 else "")) for i in range(120)] + [(140, None), (160, ""), (20, base[0]), (None, base[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = fingerprints.fingerprints(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), ["doc_id"]).collect()
+    of = {r.doc_id: r.fingerprint % (1 << 64) if r.n_terms else None for r in found}
+    want = []
+    for i, (d, _) in enumerate(rows):
+        if d is not None and d % 20 == 0:
+            near = [of[j] for j in of if of[i] is not None and of[j] is not None and (of[i] ^ of[j]).bit_count() <= 3]
+            want.append((d, max(0, len(near) - 1), max(0, len(set(near)) - 1)))
+    assert sorted(map(tuple, fingerprints.near_fingerprints(spark, str(tmp_path)).collect())) == sorted(want)
+    assert sum(w[2] for w in want) > 0
 
 
 def test_fingerprints(spark):
