@@ -7,9 +7,11 @@ The join skips work by the relations between sets:
   that two linked sets share an indexed shingle. An index list stands in order of set size, then position. A set passes
   the list from its own place on: where an entry's position leaves too few shingles for the threshold, all entries of
   that size behind it are skipped, and the list ends where sizes do;
-* lists of many sets are cut into blocks by size, position and ring, and pairs of blocks that cannot hold a link are
-  skipped whole. The ring is an answer that others are derived from: every set of the list is compared with the list's
-  centres, and two sets are linked only if their distances from a centre differ by no more than a link's distance;
+* lists of many sets that have the same two centres, their sets of least hashes, are mostly lists of the same sets, and
+  are one family, in which each set stands once. A family is cut into blocks by size, position and ring, and pairs of
+  blocks that cannot hold a link are skipped whole. The ring is an answer that others are derived from: every set of the
+  family is compared with the centres, and two sets are linked only if their distances from a centre differ by no more
+  than a link's distance;
 * sets that links connect form a group. Blocks tell sets of the first centre's group from others, and blocks of one
   group are not compared with each other: what its sets are linked to, the group is linked to;
 * the pairs of blocks that are left are cells of bounded size with whole sets in them. A cell finds all its links
@@ -35,8 +37,8 @@ from .words import mix, shingle_sets
 
 #: Shingles that are ordered last at most (8 bytes each, broadcast), and the least documents they are in.
 MOST_COMMON, COMMON_FROM = 100_000, 64
-#: Sets of a list up to which its pairs are listed; beyond it the list is cut into blocks. Centres of such a list.
-LONG_LIST, CENTRES = 64, 3
+#: Sets of a list up to which its pairs are listed; beyond it, it is a long one.
+LONG_LIST = 64
 #: Sets and shingles of a block, about; columns of a matrix product.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 4096
 #: Classes (24 bytes each) that are broadcast at most.
@@ -262,21 +264,27 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def centred(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, key, n, pos, ring, centre, link) of each entry of long lists.
+def families(index: DataFrame) -> DataFrame:
+    """(family, c0, c1, key, n, pos): the sets of long lists (token, key, n, pos) that have the centres c0 and c1; pos is a set's first one."""
+    pick = [F.min(F.struct(F.xxhash64("key", F.lit(i)), F.col("key").alias("key"))).getField("key").alias(f"c{i}") for i in range(2)]
+    centres = index.groupBy("token").agg(*pick).withColumn("family", F.xxhash64("c0", "c1"))
+    return index.join(centres, "token").groupBy("family", "c0", "c1", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
 
-    The centres of a list are the keys of least hash; ``centre`` is the first one, ``ring`` the distance from it in
-    steps of a link's distance, and ``link`` has the centres that the set is linked to.
+
+def centred(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(family, key, n, pos, ring, centre, link) of each set of the families.
+
+    ``centre`` is the first one, ``ring`` the distance from it in steps of a link's distance, and ``link`` has the
+    centres that the set is linked to.
     """
-    pick = [F.min(F.struct(F.xxhash64("key", F.lit(i)), F.col("key").alias("key"))).getField("key").alias(f"c{i}") for i in range(CENTRES)]
-    centres = index.groupBy("token").agg(*pick).select("token", F.posexplode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("nth", "c"))
+    centres = members.select("family", F.posexplode(F.array("c0", "c1")).alias("nth", "c")).distinct()
     centres = centres.join(sets.select(F.col("key").alias("c"), F.col("set").alias("middle")), "c")
-    centres = centres.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("nth", "c", "middle"))).alias("middles"))
-    schema = pa.schema([("token", _I64), ("key", _I64), ("n", pa.int32()), ("pos", pa.int32()), ("ring", pa.int32()), ("centre", _I64), ("link", pa.list_(_I64))])
+    centres = centres.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("nth", "c", "middle"))).alias("middles"))
+    schema = pa.schema([("family", _I64), ("key", _I64), ("n", pa.int32()), ("pos", pa.int32()), ("ring", pa.int32()), ("centre", _I64), ("link", pa.list_(_I64))])
     wide = (1 - num / den) * (1 + 1e-9) + 1e-12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[tuple[int, np.ndarray]]] = {}  # the centres of lists met last
+        known: dict[int, list[tuple[int, np.ndarray]]] = {}  # the centres of families met last
         for batch in batches:
             ring, centre, link = [], [], []
             for t, key, s, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), batch.column(5), strict=True):
@@ -291,35 +299,35 @@ def centred(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 ring.append(int((1 - both[0] / either[0]) / wide))
                 centre.append(middles[0][0])
                 link.append([c for (c, _), x, y in zip(middles, both, either, strict=True) if c != key and den * x >= num * y])
-            yield table(schema, token=batch.column(0), key=batch.column(1), n=batch.column(2), pos=batch.column(3), ring=ring, centre=centre, link=link)
+            yield table(schema, family=batch.column(0), key=batch.column(1), n=batch.column(2), pos=batch.column(3), ring=ring, centre=centre, link=link)
 
-    both = index.select("token", "key", "n", "pos").join(sets, "key").join(centres, "token").select("token", "key", "n", "pos", "set", "middles")
-    return both.mapInArrow(run, "token long, key long, n int, pos int, ring int, centre long, link array<long>")
+    both = members.select("family", "key", "n", "pos").join(sets, "key").join(centres, "family").select("family", "key", "n", "pos", "set", "middles")
+    return both.mapInArrow(run, "family long, key long, n int, pos int, ring int, centre long, link array<long>")
 
 
 def block_pairs(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Entries (token, key, n, pos, ring, group, inside) of long lists in their blocks, and the pairs of blocks that may hold a link between groups.
+    """Entries (family, key, n, pos, ring, group, inside) in their blocks, and the pairs of blocks that may hold a link between groups.
 
     Kinds of entries have one side (inside the first centre's group or not), size class, ring and eighth of the prefix.
     In that order kinds with few sets or shingles share a block, and one with many is dealt by hash to parts of the
-    size of a block. Only counts of kinds meet in a list's window, however long it is.
+    size of a block. Only counts of kinds meet in a family's window, however large it is.
     """
-    kind = ["token", "inside", "c", "ring", "eighth"]
+    kind = ["family", "inside", "c", "ring", "eighth"]
     classed = entries.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
     classed = classed.withColumn("eighth", F.floor(8 * F.col("pos") / (F.col("n") - F.ceil(F.col("n") * num / den) + 1)).cast("int")).select(*kind, "key", "n", "pos", "group")
     left = F.col("n") - F.col("pos")
     weight = F.greatest(F.lit(1 / BLOCK_SETS), F.col("n") / BLOCK_SHINGLES)
     kinds = classed.groupBy(*kind).agg(F.sum(weight).alias("load"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(left).alias("left"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-    before = Window.partitionBy("token").orderBy(*kind[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("family").orderBy(*kind[1:]).rowsBetween(Window.unboundedPreceding, -1)
     kinds = kinds.withColumn("block", F.floor(F.coalesce(F.sum("load").over(before), F.lit(0.0))).cast("long"))
-    blocks = kinds.groupBy("token", "block").agg(
+    blocks = kinds.groupBy("family", "block").agg(
         F.ceil(F.sum("load")).cast("int").alias("parts"), F.min("n0").alias("n0"), F.max("n1").alias("n1"), F.max("left").alias("left"),
         F.min("ring").alias("r0"), F.max("ring").alias("r1"), F.min("g0").alias("g0"), F.max("g1").alias("g1"),
     )
-    placed = classed.join(kinds.select(*kind, "block"), kind).join(blocks.select("token", "block", "parts"), ["token", "block"])
-    placed = placed.select("token", "block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "n", "pos", "group")
-    columns = [c for c in blocks.columns if c != "token"]
-    x, y = blocks.select("token", *(F.col(c).alias(f"x_{c}") for c in columns)), blocks.select("token", *(F.col(c).alias(f"y_{c}") for c in columns))
+    placed = classed.join(kinds.select(*kind, "block"), kind).join(blocks.select("family", "block", "parts"), ["family", "block"])
+    placed = placed.select("family", "block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "n", "pos", "group")
+    columns = [c for c in blocks.columns if c != "family"]
+    x, y = blocks.select("family", *(F.col(c).alias(f"x_{c}") for c in columns)), blocks.select("family", *(F.col(c).alias(f"y_{c}") for c in columns))
     near = (
         (F.col("x_block") <= F.col("y_block"))
         & (den * F.col("x_n1") >= num * F.col("y_n0")) & (den * F.col("y_n1") >= num * F.col("x_n0"))
@@ -327,8 +335,8 @@ def block_pairs(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, Data
         & ((num + den) * F.least("x_left", "y_left") >= num * (F.col("x_n0") + F.col("y_n0")))
         & (F.least("x_g0", "y_g0") != F.greatest("x_g1", "y_g1"))
     )
-    pairs = x.join(y, "token").where(near).select("token", F.col("x_block").alias("b1"), F.col("y_block").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)).alias("p1"), "y_parts")
-    pairs = pairs.select("token", "b1", "p1", "b2", F.explode(F.sequence(F.lit(0), F.col("y_parts") - 1)).alias("p2")).where("b1 <> b2 or p1 <= p2")
+    pairs = x.join(y, "family").where(near).select("family", F.col("x_block").alias("b1"), F.col("y_block").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)).alias("p1"), "y_parts")
+    pairs = pairs.select("family", "b1", "p1", "b2", F.explode(F.sequence(F.lit(0), F.col("y_parts") - 1)).alias("p2")).where("b1 <> b2 or p1 <= p2")
     return placed, pairs
 
 
@@ -385,9 +393,9 @@ def cell_links(left: list[tuple], right: list[tuple] | None, num: int, den: int)
 def cells(placed: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links that connect what all links between groups in pairs of blocks connect."""
     schema = pa.schema([("a", _I64), ("b", _I64)])
-    side = lambda b, p, i: pairs.select("token", F.col(b).alias("block"), F.col(p).alias("part"), "b1", "p1", "b2", "p2", F.lit(i).alias("side"))
+    side = lambda b, p, i: pairs.select("family", F.col(b).alias("block"), F.col(p).alias("part"), "b1", "p1", "b2", "p2", F.lit(i).alias("side"))
     ends = side("b1", "p1", 0).unionByName(side("b2", "p2", 1).where("b1 <> b2 or p1 <> p2"))
-    name = ["token", "b1", "p1", "b2", "p2"]
+    name = ["family", "b1", "p1", "b2", "p2"]
 
     def check(rows: list[list[tuple]]) -> pa.RecordBatch | None:
         first, *second = rows
@@ -408,7 +416,7 @@ def cells(placed: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: i
         if held and (out := check(held)):
             yield out
 
-    met = ends.join(placed, ["token", "block", "part"]).join(sets, "key").select(*name, "side", "key", "n", "pos", "group", "set")
+    met = ends.join(placed, ["family", "block", "part"]).join(sets, "key").select(*name, "side", "key", "n", "pos", "group", "set")
     return met.repartition(*name).sortWithinPartitions(*name, "side").mapInArrow(run, "a long, b long")
 
 
@@ -419,20 +427,22 @@ def linked_classes(docs: DataFrame, index: DataFrame, reps: DataFrame, k: int, n
     pairs = stored(possible(short_list_pairs(few, num, den).distinct(), reps, apart), f"{work}/pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long.select("key")).distinct()
     sets = stored(sets_of(docs, wanted.join(reps.select("key", "check", "doc_id"), "key"), k), f"{work}/sets")
-    entries = stored(centred(long, sets, num, den), f"{work}/entries")
+    members = stored(families(long), f"{work}/members")
+    long_sets = stored(sets.join(members.select("key").distinct(), "key"), f"{work}/long")
+    entries = stored(centred(members, long_sets, num, den), f"{work}/entries")
     to_centres = entries.select(F.col("key").alias("a"), F.explode("link").alias("b"))
     label = stored(components(linked_pairs(pairs, sets, num, den).unionByName(to_centres)), f"{work}/label")
     remove(docs.sparkSession, f"{work}/pairs")
-    # sets of one group need no comparison; the rest of long lists meets in cells, and links join groups
+    # sets of one group need no comparison; the rest of a family meets in cells, and links join groups
     group = F.coalesce("root", "key")
     own = entries.drop("link").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("group", group).drop("root")
     middle = label.select(F.col("node").alias("centre"), F.col("root").alias("_root"))
     own = own.join(middle, "centre", "left").withColumn("inside", F.col("group") == F.coalesce("_root", "centre"))
-    found = stored(cells(*block_pairs(own, num, den), sets, num, den), f"{work}/found")
+    found = stored(cells(*block_pairs(own, num, den), long_sets, num, den), f"{work}/found")
     of = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     more = stored(components(joined), f"{work}/more")
-    for name in ("sets", "entries", "found"):
+    for name in ("sets", "members", "long", "entries", "found"):
         remove(docs.sparkSession, f"{work}/{name}")
     upper = more.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     lone = more.join(label.select("node"), "node", "left_anti")
