@@ -13,7 +13,8 @@ from ..functions.cigar import unclipped_5prime
 from ..functions.flags import REVERSE, has, is_candidate
 from ..operators import duplicate_sets, flow_sets, histogram, marking, metrics, optical, pairs, program_groups
 from ..operators.ends import orientation, with_library
-from ..sources import fixture
+from ..shared import shared_dir
+from ..sources import bam, ends_json, fixture, header, metrics_file, sam
 from .markdup import MarkDuplicates
 from .oracle import FIVE, LOCATION, REF_LEN, SCORE, query
 
@@ -348,6 +349,58 @@ def pg_chain(spark, sf_dir):
     return program_groups.rewritten(reads, new).select("idx", F.substring(F.col("tags")["PG"], 3, 1 << 30).alias("pg"))
 
 
+HEAD = ["@HD\tVN:1.6\tSO:coordinate", *(f"@SQ\tSN:chr{i}\tLN:100000000" for i in (1, 2, 3)), *(f"@RG\tID:RG{i}" for i in range(4))]
+FILE_COLUMNS = ("idx", "qname", "flag", "tid", "pos", "cigar", "mtid", "mpos", "seq", "qual", "rg")
+TAG_COLUMNS = [c for c, _, _ in fixture.TAGS]
+
+
+def from_file(reads: DataFrame) -> DataFrame:
+    tags = [F.substring(F.try_element_at("tags", F.lit(tag)), 3, 1 << 30).alias(c) for c, tag, _ in fixture.TAGS]
+    return reads.select(*FILE_COLUMNS, *tags)
+
+
+def in_file_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads as files have them, with qualities and lengths that the fixture lacks."""
+    reads = fixture.with_tags(fixture.reads(spark, sf_dir))
+    return reads.select("*", F.lit(60).alias("mapq"), F.lit(0).cast("long").alias("tlen"))
+
+
+@named(f"SELECT {', '.join(FILE_COLUMNS)}, {', '.join(TAG_COLUMNS)} FROM reads")
+def bam_round_trip(spark, sf_dir):
+    """Written as a folder of BAM files, read back in small splits."""
+    path = f"{shared_dir(spark)}/reads.bam"
+    bam.write(in_file_schema(spark, sf_dir), HEAD, path)
+    return from_file(bam.read(spark, path, 1 << 18))
+
+
+@named(f"SELECT {', '.join(FILE_COLUMNS)}, {', '.join(TAG_COLUMNS)} FROM reads")
+def sam_round_trip(spark, sf_dir):
+    """Written as SAM text and read back, rows numbered by their place."""
+    path = f"{shared_dir(spark)}/reads.sam"
+    sam.write(in_file_schema(spark, sf_dir), HEAD, [n for n, _ in header.contigs(HEAD)], path)
+    return from_file(sam.read(spark, path))
+
+
+@named("SELECT idx1 AS read1, idx2 AS read2, score::INT AS score, tile, x, y FROM pairs")
+def json_round_trip(spark, sf_dir):
+    """Pairs as JSON arrays and back."""
+    path = f"{shared_dir(spark)}/ends"
+    own = run(spark, sf_dir).pairs.select(F.col("idx1").alias("read1IndexInFile"), F.col("idx2").alias("read2IndexInFile"), "score", "tile", "x", "y")
+    ends_json.write(own, path)
+    return ends_json.read(spark, path).select(F.col("read1IndexInFile").alias("read1"), F.col("read2IndexInFile").alias("read2"), "score", "tile", "x", "y")
+
+
+@named("SELECT library, READ_PAIRS_EXAMINED::VARCHAR AS pairs, READ_PAIR_DUPLICATES::VARCHAR AS duplicates, READ_PAIR_OPTICAL_DUPLICATES::VARCHAR AS optical, coalesce(ESTIMATED_LIBRARY_SIZE::VARCHAR, '') AS size FROM final")
+def metrics_file_table(spark, sf_dir):
+    """The table of a metrics file, read back as text."""
+    job = run(spark, sf_dir)
+    text = metrics_file.render(job.metrics, job.set_sizes, ["a command"]).split("\n")
+    at = next(i for i, x in enumerate(text) if x.startswith("## METRICS CLASS"))
+    rows = [dict(zip(text[at + 1].split("\t"), x.split("\t"), strict=True)) for x in text[at + 2 : text.index("", at)]]
+    names = {"library": "LIBRARY", "pairs": "READ_PAIRS_EXAMINED", "duplicates": "READ_PAIR_DUPLICATES", "optical": "READ_PAIR_OPTICAL_DUPLICATES", "size": "ESTIMATED_LIBRARY_SIZE"}
+    return spark.createDataFrame([tuple(r[c] for c in names.values()) for r in rows], ", ".join(f"{n} string" for n in names))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

@@ -72,10 +72,19 @@ def counted(numbered: DataFrame, part: str, row: str, name: str) -> DataFrame:
 
 
 def in_input_order(rows: DataFrame, name: str = "idx") -> DataFrame:
-    """Rows of files numbered from 0 in the order of the input's partitions."""
-    placed = rows.withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.withColumn("_split", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND(F.lit(_ROWS_OF_PART))).drop("_m")
-    return counted(placed, "_split", "_row", name)
+    """Rows of a file source numbered from 0 in the order of the files' names and of their places in them.
+
+    Spark deals splits to tasks by size, so a row's place is told by its split: the driver sees one count a split.
+    """
+    spark = rows.sparkSession
+    kept = rows.columns
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_m", F.monotonically_increasing_id())
+    base, shift = 0, []
+    for r in placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("first")).orderBy("_file", "_start").collect():
+        shift.append((r["_file"], r["_start"], base - r["first"]))
+        base += r["n"]
+    of = spark.createDataFrame(shift, "_file string, _start long, _shift long")
+    return placed.join(F.broadcast(of), ["_file", "_start"]).select(*kept, (F.col("_m") + F.col("_shift")).alias(name))
 
 
 def in_order(rows: DataFrame, *keys: str, name: str = "idx", path: str | None = None) -> DataFrame:

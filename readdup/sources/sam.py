@@ -13,8 +13,8 @@ SCHEMA = "idx long, qname string, flag int, tid int, pos long, mapq int, cigar s
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The header's lines, in order. It stands before the records, so lines are asked for a few more at a time until one is a record."""
-    lines, n = spark.read.text(path), 1000
+    """The header's lines, in order. It stands before the records, in the first file of a folder, so lines are asked for a few more at a time until one is a record."""
+    lines, n = spark.read.text(sorted(spark.read.text(path).inputFiles())[0]), 1000
     while True:
         found = [r.value for r in lines.limit(n).collect()]
         k = next((i for i, x in enumerate(found) if not x.startswith("@")), None)

@@ -48,6 +48,22 @@ def test_read_mark_write(spark, path, tmp_path):
     assert before <= {tuple(sorted(x.split("\t"))) for x in lines}
 
 
+def test_folders_are_read_in_the_order_of_names(spark, tmp_path):
+    """Spark reads large files first; rows are numbered by name and place all the same."""
+    lines, folder = TEXT.split("\n"), tmp_path / "folder.sam"
+    folder.mkdir()
+    record = lambda i: f"r{i}\t4\t*\t0\t0\t*\t*\t0\t0\t{'A' * (1 + i % 9)}\t*"
+    (folder / "part-0").write_text("\n".join([*lines[:6], *map(record, range(3))]) + "\n")
+    (folder / "part-1").write_text("\n".join(map(record, range(3, 4000))) + "\n")
+    (folder / "part-2").write_text("\n".join(map(record, range(4000, 4100))) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert sam.header(spark, str(folder)) == lines[:6]
+        assert [r.qname for r in sam.read(spark, str(folder)).orderBy("idx").collect()] == [f"r{i}" for i in range(4100)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_headers():
     head = TEXT.split("\n")[:6]
     assert header.sort_order(head) == "coordinate"
