@@ -57,6 +57,29 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, path: str) -> DataFrame:
+    """The rows of ``df`` as stored() has them, in as many buckets of ``key`` as shuffles have partitions, so that joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"readdup_{uuid.uuid4().hex}"
+    atexit.register(forget, spark, name)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.table(name)
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Take a table of stored_by() out of the catalogue; its files go with their folder."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session may be gone when the process ends
+        pass
+
+
 def counted(numbered: DataFrame, part: str, row: str, name: str) -> DataFrame:
     """Adds ``name``, the number of a row over all parts in turn, from its part and its number in it.
 
