@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored_by
 from .common import WORD, documents, flat, remove, shared_dir, slices, stored, table
 from .components import components
 from .words import mix, shingle_sets
@@ -229,22 +230,22 @@ def possible(pairs: DataFrame, sets: DataFrame, apart: float) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, set): the sorted hashes of each class of ``wanted`` (key, check, doc_id), from one of its documents.
+    """(key, set, long): the sorted hashes of each class of ``wanted`` (key, check, doc_id, long), from one of its documents.
 
     Few classes are sent to the documents, many meet them in a shuffle.
     """
-    schema = pa.schema([("key", _I64), ("set", pa.binary())])
-    own = wanted.select("key", "check", F.col("doc_id").alias("_id"))
+    schema = pa.schema([("key", _I64), ("set", pa.binary()), ("long", pa.bool_())])
+    own = wanted.select("key", "check", "long", F.col("doc_id").alias("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where a doc_id has several texts, those of other classes go."""
-        for part, sets in _sets(batches, k, 2):
+        for part, sets in _sets(batches, k, 3):
             keys, checks = part.column(0).to_pylist(), part.column(1).to_pylist()
             mine = [i for i, s in enumerate(sets) if len(s) and class_key(s) == keys[i] and class_key(s, 1) == checks[i]]
-            yield table(schema, key=[keys[i] for i in mine], set=[sets[i].tobytes() for i in mine])
+            yield table(schema, key=[keys[i] for i in mine], set=[sets[i].tobytes() for i in mine], long=part.column(2).take(pa.array(mine, pa.int64())))
 
     own = F.broadcast(own) if own.count() <= MOST_SENT else own
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "check", "text").mapInArrow(run, "key long, set binary").dropDuplicates(["key"])
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "check", "long", "text").mapInArrow(run, "key long, set binary, long boolean").dropDuplicates(["key"])
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -425,10 +426,11 @@ def linked_classes(docs: DataFrame, index: DataFrame, reps: DataFrame, k: int, n
     apart = 1 - num / den + 1e-9
     few, long = index.where(F.col("m") <= LONG_LIST), index.where(F.col("m") > LONG_LIST)
     pairs = stored(possible(short_list_pairs(few, num, den).distinct(), reps, apart), f"{work}/pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long.select("key")).distinct()
-    sets = stored(sets_of(docs, wanted.join(reps.select("key", "check", "doc_id"), "key"), k), f"{work}/sets")
     members = stored(families(long), f"{work}/members")
-    long_sets = stored(sets.join(members.select("key").distinct(), "key"), f"{work}/long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), F.lit(False).alias("long"))
+    wanted = ends.unionByName(members.select("key", F.lit(True).alias("long"))).groupBy("key").agg(F.max("long").alias("long"))
+    sets = stored_by(sets_of(docs, wanted.join(reps.select("key", "check", "doc_id"), "key"), k), "key", f"{work}/sets")
+    long_sets = sets.where("long").select("key", "set")
     entries = stored(centred(members, long_sets, num, den), f"{work}/entries")
     to_centres = entries.select(F.col("key").alias("a"), F.explode("link").alias("b"))
     label = stored(components(linked_pairs(pairs, sets, num, den).unionByName(to_centres)), f"{work}/label")
@@ -442,7 +444,7 @@ def linked_classes(docs: DataFrame, index: DataFrame, reps: DataFrame, k: int, n
     of = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     more = stored(components(joined), f"{work}/more")
-    for name in ("sets", "members", "long", "entries", "found"):
+    for name in ("sets", "members", "entries", "found"):
         remove(docs.sparkSession, f"{work}/{name}")
     upper = more.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     lone = more.join(label.select("node"), "node", "left_anti")
