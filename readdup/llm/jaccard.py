@@ -44,6 +44,8 @@ LONG_LIST = 64
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 4096
 #: Classes (24 bytes each) that are broadcast at most.
 MOST_SENT = 1_000_000
+#: Bytes of all centres' sets that are broadcast at most.
+MOST_CENTRES = 16 << 20
 #: Counts that a task keeps between rounds of its sketch of frequent shingles.
 SKETCH = 1 << 16
 _I64 = pa.int64()
@@ -272,15 +274,19 @@ def families(index: DataFrame) -> DataFrame:
     return index.join(centres, "token").groupBy("family", "c0", "c1", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
 
 
-def centred(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(family, key, n, pos, ring, centre, link) of each set of the families.
+def centred(members: DataFrame, sets: DataFrame, num: int, den: int, path: str) -> DataFrame:
+    """(family, key, n, pos, ring, centre, link) of each set of the families; the centres' sets are stored at ``path``.
 
     ``centre`` is the first one, ``ring`` the distance from it in steps of a link's distance, and ``link`` has the
-    centres that the set is linked to.
+    centres that the set is linked to. Centres whose sets are few bytes are sent to the members, others meet them in a
+    shuffle.
     """
     centres = members.select("family", F.posexplode(F.array("c0", "c1")).alias("nth", "c")).distinct()
     centres = centres.join(sets.select(F.col("key").alias("c"), F.col("set").alias("middle")), "c")
-    centres = centres.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("nth", "c", "middle"))).alias("middles"))
+    centres = centres.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("nth", "c", "middle"))).alias("middles"), F.sum(F.octet_length("middle")).alias("bytes"))
+    centres = stored(centres, path)
+    size = centres.agg(F.coalesce(F.sum(F.col("bytes") + 64), F.lit(0))).first()[0]
+    centres = F.broadcast(centres.drop("bytes")) if size <= MOST_CENTRES else centres.drop("bytes")
     schema = pa.schema([("family", _I64), ("key", _I64), ("n", pa.int32()), ("pos", pa.int32()), ("ring", pa.int32()), ("centre", _I64), ("link", pa.list_(_I64))])
     wide = (1 - num / den) * (1 + 1e-9) + 1e-12
 
@@ -431,7 +437,7 @@ def linked_classes(docs: DataFrame, index: DataFrame, reps: DataFrame, k: int, n
     wanted = ends.unionByName(members.select("key", F.lit(True).alias("long"))).groupBy("key").agg(F.max("long").alias("long"))
     sets = stored_by(sets_of(docs, wanted.join(reps.select("key", "check", "doc_id"), "key"), k), "key", f"{work}/sets")
     long_sets = sets.where("long").select("key", "set")
-    entries = stored(centred(members, long_sets, num, den), f"{work}/entries")
+    entries = stored(centred(members, long_sets, num, den, f"{work}/centres"), f"{work}/entries")
     to_centres = entries.select(F.col("key").alias("a"), F.explode("link").alias("b"))
     label = stored(components(linked_pairs(pairs, sets, num, den).unionByName(to_centres)), f"{work}/label")
     remove(docs.sparkSession, f"{work}/pairs")
@@ -444,7 +450,7 @@ def linked_classes(docs: DataFrame, index: DataFrame, reps: DataFrame, k: int, n
     of = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     more = stored(components(joined), f"{work}/more")
-    for name in ("sets", "members", "entries", "found"):
+    for name in ("sets", "members", "centres", "entries", "found"):
         remove(docs.sparkSession, f"{work}/{name}")
     upper = more.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     lone = more.join(label.select("node"), "node", "left_anti")

@@ -88,6 +88,8 @@ def test_jaccard_long_lists(spark, monkeypatch, block):
     """Families around a text with ever more edits, and outsiders that share its beginning: blocks, rings and cells."""
     monkeypatch.setattr(jaccard, "LONG_LIST", 2)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    if block == 3:  # both ways to the centres are tried
+        monkeypatch.setattr(jaccard, "MOST_CENTRES", -1)
     rows = awkward()
     for start in (1000, 2000):
         base = text(60)
