@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, slices, stored, table
+from .common import documents, shared_dir, slices, stored, table, tidy
 from .pretok import Ragged, Units, split
 
 MAGIC, NO_ID = b"RDTOKEN1", np.iinfo(np.int64).min
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
         if n_docs:
             yield table(_WROTE, shard=[shard], n_docs=[n_docs], n_ids=[n_ids])
 
-    return ranged.mapInArrow(write, "shard long, n_docs long, n_ids long")
+    return ranged.mapInArrow(tidy(write), "shard long, n_docs long, n_ids long")
 
 
 def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
@@ -181,7 +181,7 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
                     yield table(_READ, doc_id=pa.array(names[i:stop], mask=names[i:stop] == NO_ID), start=base + at[i:stop], n_tokens=np.diff(at[i : stop + 1]), ids_crc32=sums)
 
     files = max(1, shards.count())  # one reading task a shard
-    return based.select("shard", "base").repartition(files, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.select("shard", "base").repartition(files, "shard").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
