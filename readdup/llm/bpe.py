@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices, table
+from .common import documents, slices, table, tidy
 from .pretok import Ragged, Units, split
 
 #: Distinct units that a worker remembers before it starts anew.
@@ -113,12 +113,15 @@ class Codec:
 
     def make(self, words: list[str]) -> None:
         for i in range(0, len(words), 1 << 16):
-            flat, lengths = self.vocabulary.merge([w.encode() for w in words[i : i + (1 << 16)]])
-            self.ids.append(flat, lengths)
-            ids, at, names = flat.tolist(), np.cumsum(lengths).tolist(), self.vocabulary.names
-            for a, b in zip([0, *at[:-1]], at, strict=True):
-                self.shown.append(b" ".join([b"%d" % x for x in ids[a:b]]))
-                self.read.append(" ".join([names[x] for x in ids[a:b]]).encode())
+            self.ids.append(*self.vocabulary.merge([w.encode() for w in words[i : i + (1 << 16)]]))
+
+    def show(self) -> None:
+        """What digests join of the units that are new since the last call; who wants ids alone makes none of it."""
+        flat, at = self.ids.rows(np.arange(len(self.shown), self.ids.n))
+        ids, at, names = flat.tolist(), at.tolist(), self.vocabulary.names
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            self.shown.append(b" ".join([b"%d" % x for x in ids[a:b]]))
+            self.read.append(" ".join([names[x] for x in ids[a:b]]).encode())
 
     @staticmethod
     def normal(text: str) -> str:
@@ -170,6 +173,7 @@ class Codec:
         if marks is not None:
             out = self.encode(texts)
             return [len(x) for x in out], [hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in out], [hashlib.sha256(self.decode(x).encode()).hexdigest() for x in out]
+        self.show()
         counts = np.zeros(len(which) + 1, np.int64)
         np.cumsum(self.ids.at[which + 1] - self.ids.at[which], out=counts[1:])
         n = np.diff(counts[bounds]).tolist()
@@ -194,7 +198,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             for part in slices(batch):
                 yield table(_IDS, doc_id=part.column(0), ids=[x.astype(np.int32) for x in own.encode([t or "" for t in part.column(1).to_pylist()])])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -207,7 +211,7 @@ def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                 n, ids, back = own.digests([t or "" for t in part.column(1).to_pylist()])
                 yield table(_DIGEST, doc_id=part.column(0), n_tokens=n, ids_sha256=ids, decoded_sha256=back)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored_by
-from .common import WORD, documents, flat, remove, shared_dir, slices, stored, table
+from .common import WORD, documents, flat, remove, shared_dir, slices, stored, table, tidy
 from .components import components
 from .words import mix, shingle_sets
 
@@ -136,7 +136,7 @@ def read_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             none = pa.nulls(len(tokens), _I64)
             yield table(_READ, doc_id=none, text_hash=none, n_shingles=none, key=none, check=none, sketch=pa.nulls(len(tokens), pa.binary()), token=tokens.view(np.int64), times=counts)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key long, check long, sketch binary, token long, times long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(run), "doc_id long, text_hash long, n_shingles long, key long, check long, sketch binary, token long, times long")
 
 
 def common_shingles(counts: DataFrame) -> np.ndarray:
@@ -168,7 +168,7 @@ def postings(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
             sizes = np.array([len(s) for s in fresh.values()], np.int32)
             yield table(schema, token=np.concatenate(tokens).view(np.int64), key=np.repeat(np.array(list(fresh), np.int64), counts), n=np.repeat(sizes, counts), pos=np.concatenate([np.arange(c, dtype=np.int32) for c in counts]))
 
-    return docs.select("text").mapInArrow(run, "token long, key long, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(run), "token long, key long, n int, pos int")
 
 
 def listed_pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +210,7 @@ def short_list_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
         yield table(schema, a=a, b=b)
 
     ordered = index.select("token", "key", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "pos")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, apart: float) -> DataFrame:
@@ -228,7 +228,7 @@ def possible(pairs: DataFrame, sets: DataFrame, apart: float) -> DataFrame:
                 keep.append(least_difference(s, t) <= apart / (2 - apart) * (n_a + n_b) + 1e-6)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -247,7 +247,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield table(schema, key=[keys[i] for i in mine], set=[sets[i].tobytes() for i in mine], long=part.column(2).take(pa.array(mine, pa.int64())))
 
     own = F.broadcast(own) if own.count() <= MOST_SENT else own
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "check", "long", "text").mapInArrow(run, "key long, set binary, long boolean").dropDuplicates(["key"])
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "check", "long", "text").mapInArrow(tidy(run), "key long, set binary, long boolean").dropDuplicates(["key"])
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,7 +264,7 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 keep.append(den * both >= num * (len(u) + len(v) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def families(index: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def centred(members: DataFrame, sets: DataFrame, num: int, den: int, path: str)
             yield table(schema, family=batch.column(0), key=batch.column(1), n=batch.column(2), pos=batch.column(3), ring=ring, centre=centre, link=link)
 
     both = members.select("family", "key", "n", "pos").join(sets, "key").join(centres, "family").select("family", "key", "n", "pos", "set", "middles")
-    return both.mapInArrow(run, "family long, key long, n int, pos int, ring int, centre long, link array<long>")
+    return both.mapInArrow(tidy(run), "family long, key long, n int, pos int, ring int, centre long, link array<long>")
 
 
 def block_pairs(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +424,7 @@ def cells(placed: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: i
             yield out
 
     met = ends.join(placed, ["family", "block", "part"]).join(sets, "key").select(*name, "side", "key", "n", "pos", "group", "set")
-    return met.repartition(*name).sortWithinPartitions(*name, "side").mapInArrow(run, "a long, b long")
+    return met.repartition(*name).sortWithinPartitions(*name, "side").mapInArrow(tidy(run), "a long, b long")
 
 
 def linked_classes(docs: DataFrame, index: DataFrame, reps: DataFrame, k: int, num: int, den: int, work: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, flat, slices
+from .common import documents, flat, slices, tidy
 from .words import word_hashes
 
 #: Labelled rows that a model is fitted on at most: those of least hash, however many there are.
@@ -170,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
         m = fit(parts, stats, np.array([float(r[4] > 0) for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([m.w0]), *(pa.array([np.ascontiguousarray(x, float).tobytes()], pa.binary()) for x in (m.edges, m.w, m.v))], names=["w0", "edges", "w", "v"])
 
-    rows = chosen.mapInArrow(featured, "doc_id long, words binary, weights binary, stats binary, label int")
-    got = rows.repartition(1).mapInArrow(fitted, "w0 double, edges binary, w binary, v binary").first()
+    rows = chosen.mapInArrow(tidy(featured), "doc_id long, words binary, weights binary, stats binary, label int")
+    got = rows.repartition(1).mapInArrow(tidy(fitted), "w0 double, edges binary, w binary, v binary").first()
     if got is None:  # no row at all starts no task
         return fit([], np.empty((0, STATS + len(metadata))), np.empty(0))
     edges, w, v = (np.frombuffer(got[c], float) for c in ("edges", "w", "v"))
@@ -193,7 +193,7 @@ def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ("n_cha
                 of = {name: i for i, name in enumerate(part.schema.names)}
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.value.scores(part.column(of["text"]), [part.column(of[m]) for m in metadata]))], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField(column, DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema, StructField(column, DoubleType())]))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

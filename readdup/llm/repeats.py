@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import documents, flat, remove, shared_dir, slices, stored, table
+from .common import documents, flat, remove, shared_dir, slices, stored, table, tidy, tidy_group
 from .suffix import common_prefixes, suffix_array
 from .words import mix
 
@@ -209,8 +209,8 @@ def frequent(docs: DataFrame, length: int, bits: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(value))
         return pa.table({"key": pa.array(key[first]), "h": lists})
 
-    sent = docs.select("key", "text").mapInArrow(send, "bucket int, hashes binary, classes binary, table binary, done binary, done_keys binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "key long, h array<long>").groupBy("key").agg(F.flatten(F.collect_list("h")).alias("hot"))
+    sent = docs.select("key", "text").mapInArrow(tidy(send), "bucket int, hashes binary, classes binary, table binary, done binary, done_keys binary")
+    return sent.groupBy("bucket").applyInArrow(tidy_group(meet), "key long, h array<long>").groupBy("key").agg(F.flatten(F.collect_list("h")).alias("hot"))
 
 
 _PIECES = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("s", pa.binary()), ("off", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())])
@@ -270,7 +270,7 @@ def pieces(texts: DataFrame, length: int, bits: int) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("key", "doc", "text", "hot").mapInArrow(run, "h long, id long, s binary, off int, low long, high long, key long, doc long, start int")
+    return texts.select("key", "doc", "text", "hot").mapInArrow(tidy(run), "h long, id long, s binary, off int, low long, high long, key long, doc long, start int")
 
 
 def least_owners(strings: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
@@ -385,7 +385,7 @@ def shard_owners(strings: DataFrame, length: int, shards: int) -> DataFrame:
         h, i = (pa.array([keys[k][c] for k in of[first].tolist()], pa.int64()) for c in (0, 1))
         return pa.table({"h": h, "id": i, "runs": pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), cells)})
 
-    return strings.select("h", "id", "s", "off", "low", "high", F.pmod("h", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(run, kind)
+    return strings.select("h", "id", "s", "off", "low", "high", F.pmod("h", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(tidy_group(run), kind)
 
 
 def window_owners(strings: DataFrame, length: int) -> DataFrame:
@@ -468,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
                 yield pa.RecordBatch.from_arrays([*(part.column(of[c]) for c in names), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     more = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", StringType() if as_text else BinaryType())]
-    return todo.select(*names, "_spans", "_later").mapInArrow(cut, StructType([*docs.schema, *more]))
+    return todo.select(*names, "_spans", "_later").mapInArrow(tidy(cut), StructType([*docs.schema, *more]))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

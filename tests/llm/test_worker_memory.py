@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from readdup.llm import token_files
+from readdup.llm import bpe, jaccard, quality, repeats, token_files
 from readdup.llm.common import give_back, slices, tidy
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -47,6 +49,31 @@ def test_token_files_leave_no_unused_memory(spark, texts, tmp_path):
     assert unused(spark) < 40
 
 
+STAGES = {
+    "quality": lambda docs: quality.score(docs, quality.fit([], np.empty((0, quality.STATS)), np.empty(0)), ()),
+    "sets": lambda docs: jaccard.read_sets(docs, 5, 80, 100),
+    "keys": lambda docs: repeats.frequent(docs.selectExpr("doc_id AS key", "text"), 50, 3),
+    "strings": lambda docs: repeats.pieces(docs.selectExpr("doc_id AS key", "doc_id AS doc", "text", "array(0L) AS hot"), 50, 3),
+    "ids": lambda docs: bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")),
+}
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_stages_of_the_pipeline_leave_no_unused_memory(spark, texts, stage):
+    unused(spark)
+    STAGES[stage](texts).collect()
+    assert unused(spark) < 20
+
+
+def test_units_are_shown_to_digests_alone():
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    ids = codec.encode(["some words", "", "more <|endoftext|> of them"])
+    assert codec.ids.n and not codec.shown and not codec.read
+    n, hashes, _ = codec.digests(["some words", "some new words", ""])
+    assert n[0] == len(ids[0]) and hashes[0] == hashlib.sha256(" ".join(map(str, ids[0].tolist())).encode()).hexdigest()
+    assert len(codec.shown) == len(codec.read) == codec.ids.n
+
+
 def test_tidy_passes_rows_and_errors():
     batch = pa.RecordBatch.from_pydict({"text": ["a", "b", None]})
     assert [b.num_rows for b in tidy(lambda batches: (p for b in batches for p in slices(b, most=1)))(iter([batch, batch]))] == [1, 2, 1, 2]
