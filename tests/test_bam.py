@@ -54,3 +54,25 @@ def test_marking_from_file_to_file(spark, tmp_path):
     done = run(bam.read(spark, path), header.read_groups(spark, head), Options(tagging_policy="all"), header.sort_order(head))
     bam.write(done.output(), head, out)
     assert {(r.qname, r.flag, r.tags.get("DT")) for r in bam.read(spark, out).collect()} == {("a", 99 | 1024, "Z:LB"), ("a", 147 | 1024, "Z:LB"), ("b", 99, None), ("b", 147, None)}
+
+
+def test_bytes_that_look_like_a_long_record_are_no_start(spark, tmp_path):
+    # two bytes before a record of the first contig at 65,536 to 131,071 the size, contig and place of a record of some megabytes can be read
+    data = [(i, f"read{i:06d}", 99, 0, 65_600 + i, 60, "50M", 0, 65_700 + i, 0, "ACGTT" * 10, "".join(chr(38 + i * k % 35) for k in range(50)), "A", {"RG": "Z:A"}) for i in range(8000)]
+    path = str(tmp_path / "x.bam")
+    bam.write(spark.createDataFrame(data, sam.SCHEMA), HEAD, path, single=True)
+    got = bam.read(spark, path, 20_000).orderBy("idx").collect()
+    assert [tuple(r) for r in got] == data
+
+
+def test_a_file_that_is_cut_off_is_an_error(spark, tmp_path):
+    path, cut = tmp_path / "x.bam", tmp_path / "cut.bam"
+    bam.write(spark.createDataFrame(list(rows(3000)), sam.SCHEMA), HEAD, str(path), single=True)
+    whole = path.read_bytes()
+    ends, at = [], 0
+    while at < len(whole):
+        at += bam.block_size(whole[at : at + 64])
+        ends.append(at)
+    cut.write_bytes(whole[: ends[len(ends) // 2]])
+    with pytest.raises(Exception, match="not whole"):
+        bam.read(spark, str(cut)).count()
