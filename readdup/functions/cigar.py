@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _number(cigar: Column, pattern: str, group: int) -> Column:
-    return F.coalesce(F.regexp_extract(cigar, pattern, group).try_cast("int"), F.lit(0))
+    # the zero ahead: a cast that fails costs as much as a thousand that don't
+    return F.coalesce(F.concat(F.lit("0"), F.regexp_extract(cigar, pattern, group)).try_cast("int"), F.lit(0))
 
 
 def leading_clips(cigar: Column) -> Column:

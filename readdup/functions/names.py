@@ -6,11 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_NAMES
+from .scoring import let
+
+
+def found_int(text: Column, pattern: str, group: int) -> Column:
+    """A group of a pattern as an integer; null where it is empty, which is told without a cast that fails, or doesn't fit."""
+    return let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x).try_cast("int"))
 
 
 def rapid_parse_int(text: Column) -> Column:
     """The integer at a text's beginning, whatever follows; null where there is none or it doesn't fit."""
-    return F.regexp_extract(text, r"^(-?[0-9]+)", 1).try_cast("int")
+    return found_int(text, r"^(-?[0-9]+)", 1)
 
 
 def location(name: Column, pattern: str = DEFAULT_NAMES) -> dict[str, Column]:
@@ -22,9 +28,8 @@ def location(name: Column, pattern: str = DEFAULT_NAMES) -> dict[str, Column]:
     if not pattern:
         return {c: F.lit(None).cast("int") for c in ("tile", "x", "y")}
     if pattern == DEFAULT_NAMES:
-        parts = F.split(name, ":")
-        found = [F.when(F.size(parts).isin(5, 7), rapid_parse_int(F.element_at(parts, -i))) for i in (3, 2, 1)]
+        three = let(F.split(name, ":"), lambda parts: F.when(F.size(parts).isin(5, 7), F.struct(*(rapid_parse_int(F.element_at(parts, -i)).alias(c) for c, i in (("tile", 3), ("x", 2), ("y", 1))))))
     else:
-        found = [F.regexp_extract(name, f"^(?:{pattern})$", i).try_cast("int") for i in (1, 2, 3)]
-    known = found[0].isNotNull() & found[1].isNotNull() & found[2].isNotNull()
-    return {c: F.when(known, x) for c, x in zip(("tile", "x", "y"), found, strict=True)}
+        three = F.struct(*(found_int(name, f"^(?:{pattern})$", i).alias(c) for c, i in (("tile", 1), ("x", 2), ("y", 3))))
+    found = let(three, lambda s: F.when(s["tile"].isNotNull() & s["x"].isNotNull() & s["y"].isNotNull(), s))
+    return {c: found[c] for c in ("tile", "x", "y")}
