@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -78,16 +80,34 @@ def union_find(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def clusters(edges: DataFrame) -> DataFrame:
-    """(rep_idx, optical_group, node, cluster): connected components; a cluster's name is its least node. Only sets with an edge get here."""
+    """(rep_idx, optical_group, node, cluster): connected components; a cluster's name is its least node. Only sets with an edge get here.
 
-    def run(group: pa.Table) -> pa.Table:
-        u, v = (np.asarray(group.column(c).combine_chunks()) for c in ("u", "v"))
-        found = union_find(u, v)
-        node, first = np.unique(np.concatenate([u, v]), return_index=True)
-        one = lambda c: np.full(len(node), group.column(c)[0].as_py())
-        return pa.table({"rep_idx": one("rep_idx"), "optical_group": one("optical_group").astype(np.int32), "node": node, "cluster": found.ravel()[first]})
+    Sets are dealt out and stand in order, so that Python takes a batch of whole sets at once. A pair is of one set, so
+    no component spans two.
+    """
 
-    return edges.groupBy(*GROUP).applyInArrow(run, "rep_idx long, optical_group int, node long, cluster long")
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        u, v, rep, group = (rows.column(c).to_numpy() for c in ("u", "v", "rep_idx", "optical_group"))
+        names = union_find(u, v).ravel()
+        node, first = np.unique(np.concatenate([u, v]), return_index=True)
+        columns = {"rep_idx": np.tile(rep, 2)[first], "optical_group": np.tile(group, 2)[first].astype(np.int32), "node": node, "cluster": names[first]}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last set, which the next batch may continue
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            rep = rows.column("rep_idx").to_numpy()
+            cut = int(np.searchsorted(rep, rep[-1])) if len(rep) else 0
+            if cut:
+                yield found(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield found(held)
+
+    dealt = edges.select(*GROUP, "u", "v").repartition("rep_idx").sortWithinPartitions("rep_idx")
+    return dealt.mapInArrow(run, "rep_idx long, optical_group int, node long, cluster long")
 
 
 def optical_pairs(sets: DataFrame, distance: int = 100, most: int = 300_000) -> DataFrame:
