@@ -38,6 +38,13 @@ def run(spark: SparkSession, sf_dir: str, order: str = COORDINATE, **options: ob
     return MarkDuplicates(fixture.reads(spark, sf_dir, order), fixture.read_groups(spark), Options(**options), order)
 
 
+def run_once(spark: SparkSession, sf_dir: str, order: str = COORDINATE, **options: object) -> MarkDuplicates:
+    """A run whose ends, pair sets, duplicates and optical pairs are made once and stored, as several frames need them."""
+    job = run(spark, sf_dir, order, **options)
+    job.work = shared_dir(spark)
+    return job
+
+
 def single_reads(spark: SparkSession, sf_dir: str, **options: object) -> MarkDuplicates:
     """A run in flow mode, which has rules for reads without a mate only."""
     reads = fixture.reads(spark, sf_dir).where(is_candidate() & ~has(1))
@@ -127,7 +134,7 @@ def fragment_duplicate_ids(spark, sf_dir):
 
 @named("SELECT idx FROM dups")
 def all_duplicate_ids(spark, sf_dir):
-    return run(spark, sf_dir).duplicates
+    return run_once(spark, sf_dir).duplicates
 
 
 @named("SELECT DISTINCT unnest([idx1, idx2]) AS idx, rep_idx, set_size::INT AS set_size FROM sets WHERE set_size > 1")
@@ -137,68 +144,68 @@ def representative_tags(spark, sf_dir):
 
 @named("SELECT rep_idx, u, v FROM edges")
 def optical_edges(spark, sf_dir):
-    return run(spark, sf_dir).optical_edges.select("rep_idx", "u", "v")
+    return run_once(spark, sf_dir).optical_edges.select("rep_idx", "u", "v")
 
 
 @named("SELECT rep_idx, node, cluster FROM comps")
 def optical_clusters(spark, sf_dir):
-    return optical.clusters(run(spark, sf_dir).optical_edges).select("rep_idx", "node", "cluster")
+    return optical.clusters(run_once(spark, sf_dir).optical_edges).select("rep_idx", "node", "cluster")
 
 
 @named("SELECT idx1, idx2, rep_idx FROM optical")
 def optical_flags(spark, sf_dir):
-    return run(spark, sf_dir).optical.select("idx1", "idx2", "rep_idx")
+    return run_once(spark, sf_dir).optical.select("idx1", "idx2", "rep_idx")
 
 
 @named("SELECT library, optical FROM opt_lib")
 def optical_by_library(spark, sf_dir):
-    return optical.optical_by_library(run(spark, sf_dir).optical)
+    return optical.optical_by_library(run_once(spark, sf_dir).optical)
 
 
 @named("SELECT idx, new_flag::INT AS flag, is_duplicate, is_optical FROM marks")
 def marked_flags(spark, sf_dir):
-    return run(spark, sf_dir, tagging_policy=ALL).marked.select("idx", "flag", "is_duplicate", "is_optical")
+    return run_once(spark, sf_dir, tagging_policy=ALL).marked.select("idx", "flag", "is_duplicate", "is_optical")
 
 
 @named("SELECT idx, CASE WHEN is_optical THEN 'SQ' WHEN is_duplicate THEN 'LB' END AS dt FROM marks")
 def dt_tags(spark, sf_dir):
-    return run(spark, sf_dir, tagging_policy=ALL).marked.select("idx", marking.duplicate_type(ALL).alias("dt"))
+    return run_once(spark, sf_dir, tagging_policy=ALL).marked.select("idx", marking.duplicate_type(ALL).alias("dt"))
 
 
 @named("SELECT idx, new_flag::INT AS flag FROM marks WHERE NOT is_duplicate")
 def remove_duplicates(spark, sf_dir):
-    return run(spark, sf_dir, remove_duplicates=True).output().select("idx", "flag")
+    return run_once(spark, sf_dir, remove_duplicates=True).output().select("idx", "flag")
 
 
 @named("SELECT idx, new_flag::INT AS flag FROM marks WHERE NOT is_optical")
 def remove_sequencing_duplicates(spark, sf_dir):
-    return run(spark, sf_dir, remove_sequencing_duplicates=True).output().select("idx", "flag")
+    return run_once(spark, sf_dir, remove_sequencing_duplicates=True).output().select("idx", "flag")
 
 
 @named("SELECT * FROM raw")
 def library_metrics_raw(spark, sf_dir):
-    return run(spark, sf_dir).raw_metrics
+    return run_once(spark, sf_dir).raw_metrics
 
 
 @named("SELECT * FROM final")
 def library_metrics_final(spark, sf_dir):
-    return run(spark, sf_dir).metrics
+    return run_once(spark, sf_dir).metrics
 
 
 @named("SELECT library, ESTIMATED_LIBRARY_SIZE AS size FROM final")
 def library_size_estimate(spark, sf_dir):
-    return run(spark, sf_dir).metrics.select("library", F.col("ESTIMATED_LIBRARY_SIZE").alias("size"))
+    return run_once(spark, sf_dir).metrics.select("library", F.col("ESTIMATED_LIBRARY_SIZE").alias("size"))
 
 
 @named("""SELECT library, x::DOUBLE AS bin, round(ESTIMATED_LIBRARY_SIZE::DOUBLE * (1 - exp(-(x::DOUBLE * READ_PAIRS_EXAMINED) / ESTIMATED_LIBRARY_SIZE::DOUBLE)) / (READ_PAIRS_EXAMINED - READ_PAIR_DUPLICATES), 9) AS multiple
 FROM final, (SELECT unnest(range(1, 101)) AS x) WHERE ESTIMATED_LIBRARY_SIZE IS NOT NULL""")
 def roi_curve(spark, sf_dir):
-    return metrics.roi_curve(run(spark, sf_dir).metrics).select("library", "bin", F.round("CoverageMult", 9).alias("multiple"))
+    return metrics.roi_curve(run_once(spark, sf_dir).metrics).select("library", "bin", F.round("CoverageMult", 9).alias("multiple"))
 
 
 @named("SELECT * FROM histograms")
 def setsize_histograms(spark, sf_dir):
-    return run(spark, sf_dir).set_sizes
+    return run_once(spark, sf_dir).set_sizes
 
 
 @named("""SELECT count(*) AS size, sum(bin * v) AS sum, sum(v) AS sum_of_values, round(sum(bin * v) / sum(v), 9) AS mean,
@@ -289,24 +296,24 @@ def duplex_umi_duplicate_sets(spark, sf_dir):
 @named("SELECT rep_idx, u, v FROM edges WHERE rep_idx IN (SELECT rep_idx FROM sets WHERE set_size <= 3)")
 def optical_edges_of_small_sets(spark, sf_dir):
     """Sets of more pairs than the guard allows have no optical duplicates."""
-    return run(spark, sf_dir, max_optical_set_size=3).optical_edges.select("rep_idx", "u", "v")
+    return run_once(spark, sf_dir, max_optical_set_size=3).optical_edges.select("rep_idx", "u", "v")
 
 
 @named("SELECT count(*) AS optical FROM optical")
 def optical_total(spark, sf_dir):
-    return run(spark, sf_dir).optical.agg(F.count(F.lit(1)).alias("optical"))
+    return run_once(spark, sf_dir).optical.agg(F.count(F.lit(1)).alias("optical"))
 
 
 @named("SELECT 1.0::DOUBLE AS bin, count(*)::DOUBLE AS all_sets, 0.0::DOUBLE AS optical_sets, count(*)::DOUBLE AS non_optical_sets FROM sets WHERE set_size = 1 HAVING count(*) > 0")
 def setsize_histograms_without_names(spark, sf_dir):
     """Without read names only single pairs are recorded."""
-    return run(spark, sf_dir, read_name_regex="").set_sizes
+    return run_once(spark, sf_dir, read_name_regex="").set_sizes
 
 
 @named("SELECT l.idx, CASE WHEN l.qname IN (SELECT qname FROM turns) THEN l.flag | 1024 ELSE l.flag & ~1024 END::INT AS flag FROM libs l", QUERYNAME)
 def queryname_marked_flags(spark, sf_dir):
     """In queryname order the mark is on all records of the name."""
-    return run(spark, sf_dir, QUERYNAME).marked.select("idx", "flag")
+    return run_once(spark, sf_dir, QUERYNAME).marked.select("idx", "flag")
 
 
 @named("SELECT a.idx AS idx_a, b.idx AS idx_b FROM joined", QUERYNAME)
@@ -318,7 +325,7 @@ def queryname_mate_pairs(spark, sf_dir):
 FROM marks m LEFT JOIN (SELECT DISTINCT unnest([idx1, idx2]) AS idx, rep_idx, set_size FROM sets WHERE set_size > 1) r ON m.idx = r.idx""")
 def written_tags(spark, sf_dir):
     """DT, DI and DS as they stand in the tags of the output."""
-    job = run(spark, sf_dir, tagging_policy=ALL, tag_duplicate_set_members=True)
+    job = run_once(spark, sf_dir, tagging_policy=ALL, tag_duplicate_set_members=True)
     job.reads = fixture.with_tags(job.reads)
     return job.output().select("idx", *(F.try_element_at("tags", F.lit(t)).alias(t.lower()) for t in ("DT", "DI", "DS")))
 
@@ -326,13 +333,13 @@ def written_tags(spark, sf_dir):
 @named("SELECT library FROM final WHERE (SELECT count(*) FROM final) = 1")
 def roi_scope(spark, sf_dir):
     """The return on sequencing is only of a file with one library; this one has several."""
-    found = run(spark, sf_dir).roi()
+    found = run_once(spark, sf_dir).roi()
     return spark.createDataFrame([], "library string") if found is None else found.select("library").distinct()
 
 
 @named("SELECT (SELECT count(*) FROM reads) AS records, (SELECT count(*) FROM ends) AS ends, (SELECT count(*) FROM joined) AS pairs, (SELECT count(*) FROM mated) - 2 * (SELECT count(*) FROM joined) AS unmatched, (SELECT count(*) FROM dups) AS duplicates, (SELECT count(*) FROM optical) AS optical")
 def run_counters(spark, sf_dir):
-    return run(spark, sf_dir).counters
+    return run_once(spark, sf_dir).counters
 
 
 @named("SELECT DISTINCT pg FROM reads")
@@ -393,7 +400,7 @@ def json_round_trip(spark, sf_dir):
 @named("SELECT library, READ_PAIRS_EXAMINED::VARCHAR AS pairs, READ_PAIR_DUPLICATES::VARCHAR AS duplicates, READ_PAIR_OPTICAL_DUPLICATES::VARCHAR AS optical, coalesce(ESTIMATED_LIBRARY_SIZE::VARCHAR, '') AS size FROM final")
 def metrics_file_table(spark, sf_dir):
     """The table of a metrics file, read back as text."""
-    job = run(spark, sf_dir)
+    job = run_once(spark, sf_dir)
     text = metrics_file.render(job.metrics, job.set_sizes, ["a command"]).split("\n")
     at = next(i for i, x in enumerate(text) if x.startswith("## METRICS CLASS"))
     rows = [dict(zip(text[at + 1].split("\t"), x.split("\t"), strict=True)) for x in text[at + 2 : text.index("", at)]]

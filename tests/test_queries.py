@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from readdup.plans import queries as plans
+from readdup.sources import fixture
 
 DIR = "/root/testdata/sf0.001"
 
@@ -24,3 +25,15 @@ def test_same_rows(spark, name):
 
 def test_all_names_are_operators():
     assert len(plans.queries()) >= 39
+
+
+def test_the_fixture_stores_what_its_order_needs_alone(spark):
+    fixture.reads(spark, DIR)
+    kept = fixture._KEPT[(spark.sparkContext.applicationId, DIR, "coordinate")]
+    assert set(kept.columns) == {"idx", *fixture.SEEDS, *(f"_{c}" for c in fixture.PLACED)}
+
+
+def test_frames_that_several_need_are_stored_once(spark):
+    job = plans.run_once(spark, DIR, tagging_policy="all")
+    for df in (job.ends, job.pair_sets, job.duplicates, job.optical):
+        assert all(f.startswith(job.work.removesuffix("/")) or job.work.split("/")[-1] in f for f in df.inputFiles()) and df.inputFiles()
