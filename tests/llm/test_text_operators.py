@@ -459,6 +459,11 @@ def test_near_fingerprints(spark, tmp_path):
     assert sum(w[2] for w in want) > 0
 
 
+def test_a_search_broadcasts_no_table_that_grows(spark):
+    plan = fingerprints.near_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fingerprints(spark):
     rows = [(0, "a b c d"), (1, "A  b\tc d"), (2, ""), (3, None), (4, " "), (5, "word"), (6, "x y " * 9000)]
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows).drop("ids", "start"), ["doc_id"]).collect()}
